@@ -21,10 +21,11 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
-    z = np.asarray(x, dtype=U64) + _GOLD
-    z = (z ^ (z >> U64(30))) * _M1
-    z = (z ^ (z >> U64(27))) * _M2
-    return z ^ (z >> U64(31))
+    with np.errstate(over="ignore"):  # numbers alone warn, arrays don't
+        z = np.asarray(x, dtype=U64) + _GOLD
+        z = (z ^ (z >> U64(30))) * _M1
+        z = (z ^ (z >> U64(27))) * _M2
+        return z ^ (z >> U64(31))
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray | int) -> np.ndarray:

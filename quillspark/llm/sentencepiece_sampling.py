@@ -50,7 +50,7 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str = MODEL, sharpness: float = SHARPNESS) -> Vocabulary:
-        """A model's vocabulary. Unigram models give log-probabilities; scores that are merge ranks get the weight 1 / (2 + rank)."""
+        """A model's vocabulary. Unigram models give log-probabilities; scores that are whole numbers are merge ranks and get the weight 1 / (2 + rank)."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,7 +58,7 @@ class Vocabulary:
         pieces, weight, byte_ids = [], np.full(n, -np.inf), np.full(256, model.unk_id())
         scores = np.array([model.get_score(i) for i in range(n)])
         normal = np.array([not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) for i in range(n)])
-        ranked = normal.any() and (scores[normal] == np.round(scores[normal])).all() and len(np.unique(scores[normal])) == normal.sum()
+        ranked = (scores[normal] == np.round(scores[normal])).all()
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
