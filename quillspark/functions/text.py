@@ -23,20 +23,29 @@ KEY_LETTERS = 11
 KEY_STEP = 27**7
 
 
-def _is_letter(c: Column) -> Column:
-    return c.between("A", "Z") | c.between("a", "z")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, not again for each element that a lambda in body meets."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def word_starts(text: Column) -> Column:
-    """Offsets, in characters from 0, at which runs of ASCII letters begin; one pass over the text."""
-    chars = F.split(text, "")
-    begins = F.zip_with(chars, F.concat(F.array(F.lit("")), chars), lambda c, before: _is_letter(c) & ~_is_letter(before))
-    return F.filter(F.transform(begins, lambda on, i: F.when(on, i)), lambda i: i.isNotNull())
+def running_sums(numbers: Column, block: int = 128) -> Column:
+    """The sum up to each element of an array of whole numbers.
+
+    An array grows by being copied, so sums are first made block by block, and
+    blocks are then raised by what came before them.
+    """
+
+    def blocks(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(n) - 1, F.lit(0)) / block).cast("int")), lambda k: F.slice(n, k * block + 1, F.lit(block)))
+
+    def grow(sums: Column, x: Column) -> Column:
+        return F.concat(sums, F.array(F.element_at(sums, -1) + x))
+
+    def raised(parts: Column) -> Column:
+        return let(F.aggregate(parts, F.array(F.lit(0)), lambda a, p: grow(a, F.element_at(p, -1))), lambda base: F.flatten(F.zip_with(parts, F.slice(base, 1, F.size(parts)), lambda p, up: F.transform(F.slice(p, F.lit(2), F.lit(block)), lambda x: x + up))))
+
+    whole = let(numbers, lambda n: F.transform(blocks(n), lambda p: F.aggregate(p, F.array(F.lit(0)), grow)))
+    return let(whole, raised)
 
 
 def words(text: Column) -> Column:
@@ -45,15 +54,17 @@ def words(text: Column) -> Column:
     A run of more than WORD_CAP letters keeps its last ones, from where they
     begin, unless it ends the text.
     """
-    whole = F.struct(F.length(text).alias("size"), F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)).alias("raw"), word_starts(text).alias("starts"))
+    runs = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+    with_gaps = F.regexp_extract_all(text, F.lit("[^A-Za-z]*[A-Za-z]+"), F.lit(0))
+    whole = F.struct(F.length(text).alias("size"), runs.alias("raw"), running_sums(F.transform(with_gaps, F.length)).alias("ends"))
 
-    def capped(raw: Column, start: Column, end: Column) -> Column:
+    def capped(raw: Column, end: Column, past: Column) -> Column:
         size = F.length(raw)
-        last = start + size == end
+        last = end == past
         over = (size > WORD_CAP) & ~last
-        return F.struct(F.when(over, F.right(raw, F.lit(WORD_CAP))).otherwise(raw).alias("raw"), F.when(over, start + size - WORD_CAP).otherwise(start).alias("start"), last.alias("last"))
+        return F.struct(F.when(over, F.right(raw, F.lit(WORD_CAP))).otherwise(raw).alias("raw"), F.when(over, end - WORD_CAP).otherwise(end - size).alias("start"), last.alias("last"))
 
-    return let(whole, lambda w: F.zip_with(w.getField("raw"), w.getField("starts"), lambda raw, start: capped(raw, start, w.getField("size"))))
+    return let(whole, lambda w: F.zip_with(w.getField("raw"), w.getField("ends"), lambda raw, end: capped(raw, end, w.getField("size"))))
 
 
 def is_stop_word(raw: Column) -> Column:

@@ -100,30 +100,50 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(read("terms"), read("postings"), read("positions"), path)
 
 
-def write_index(docs: DataFrame, path: str, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True) -> Index:
+def write_index(docs: DataFrame, path: str, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True, replace: bool = False) -> Index:
     """Build an index of the documents and add it to a folder; ids must be unique over all of its segments.
 
     Texts are read once: postings are counted from the positions written, where
-    a term's rows already lie together.
+    a term's rows already lie together. Finished segments are moved into the
+    folder, the terms last. One that is there already is an error, or with
+    replace is replaced.
     """
     spark = docs.sparkSession
     fresh = new_path(spark, "segment")
     _sorted_write(positions_of(docs, segment, id_col, text_col, stop_words), fresh, "positions", ["term", "doc_id", "pos"])
-    return _finish(spark, fresh, path)
-
-
-def _finish(spark: SparkSession, fresh: str, path: str) -> Index:
-    """Count postings and terms of new positions, then add all three tables to the folder."""
-    positions = spark.read.schema(_SCHEMAS["positions"]).parquet(f"{fresh}/positions")
-    _sorted_write(term_frequencies(positions), fresh, "postings", ["term", "doc_id"])
-    postings = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{fresh}/postings")
-    _sorted_write(numbered_terms(vocabulary(postings)), fresh, "terms", ["term"])
-    if path != fresh:
-        for table, keys in (("positions", ["term", "doc_id", "pos"]), ("postings", ["term", "doc_id"]), ("terms", ["term"])):
-            spark.read.schema(_SCHEMAS[table]).parquet(f"{fresh}/{table}").sortWithinPartitions("segment", *keys).write.mode("append").partitionBy("segment").parquet(f"{path}/{table}")
+    _finish(spark, fresh)
+    _publish(spark, fresh, path, replace)
     return open_index(spark, path)
 
 
+def _finish(spark: SparkSession, path: str) -> Index:
+    """Count postings and terms of the positions in a folder."""
+    positions = spark.read.schema(_SCHEMAS["positions"]).parquet(f"{path}/positions")
+    _sorted_write(term_frequencies(positions), path, "postings", ["term", "doc_id"])
+    postings = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
+    _sorted_write(numbered_terms(vocabulary(postings)), path, "terms", ["term"])
+    return open_index(spark, path)
+
+
+def _publish(spark: SparkSession, fresh: str, path: str, replace: bool) -> None:
+    """Move a folder's segments into another one: one rename a segment and table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
+    for table in _SCHEMAS:
+        files.mkdirs(at(f"{path}/{table}"))
+        for found in files.listStatus(at(f"{fresh}/{table}")):
+            name = found.getPath().getName()
+            if not name.startswith("segment="):
+                continue
+            to = at(f"{path}/{table}/{name}")
+            if files.exists(to):
+                if not replace:
+                    raise ValueError(f"the index has this already: {name}")
+                files.delete(to, True)
+            files.rename(found.getPath(), to)
+    files.delete(at(fresh), True)
+
+
 def merge_segments(index: Index, segments: list[str], into: str) -> Index:
     """The index with these segments made one; ids stay, the rest is as it was. A plan: write it to keep it."""
     if not segments:
@@ -142,7 +162,7 @@ def compact(spark: SparkSession, path: str, to: str, most: int = MOST_SEGMENTS)
     gone = [name for _, name in sizes[: max(0, len(sizes) - most + 1)]] if len(sizes) > most else []
     merged = merge_segments(index, gone, "+".join(sorted(gone))[:64]) if gone else index
     _sorted_write(merged.positions, to, "positions", ["term", "doc_id", "pos"])
-    return _finish(spark, to, to)
+    return _finish(spark, to)
 
 
 def inconsistencies(index: Index) -> DataFrame:

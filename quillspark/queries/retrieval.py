@@ -12,7 +12,7 @@ from quillspark.storage import new_path
 from quillspark.streaming import incremental
 
 PAIR = ["THE", "TION"]
-TRIO = ["THAT", "MENT", "WORTHLESS"]
+TRIO = ["THAT", "TION", "THE"]
 EVERY = ["THE", "AND", "THAT", "TION", "MENT", "ORANTION", "EINLICH", "WORTHLESS", "CAN"]
 PARTS = 4
 
@@ -236,7 +236,7 @@ def incremental_index(spark, sf_dir):
     path, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
     source = spark.readStream.schema(documents(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parquet*")
     incremental.index_stream(source, path, checkpoint).awaitTermination()
-    held = incremental.stream_index(spark, path).postings
+    held = index.open_index(spark, path).postings
     return held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -169,7 +169,7 @@ def _versions(spark, sf_dir) -> DataFrame:
     return temporal.version_chain(temporal.committed(w, _txns(w)))
 
 
-AS_OF = 9000
+AS_OF = 10300
 
 
 def abort_repair(spark, sf_dir):
@@ -192,7 +192,7 @@ def snapshot_range(spark, sf_dir):
 def as_of_read(spark, sf_dir):
     """For every customer, what its key held on each of two days."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("/cust"), (F.col("c_custkey") % 10).cast("string"), F.lit("/"), F.col("c_custkey").cast("string")).alias("key"))
-    reads = c.select("key", F.explode(F.array(F.lit(AS_OF - 400), F.lit(AS_OF))).cast("long").alias("ts"))
+    reads = c.select("key", F.explode(F.array(F.lit(AS_OF - 400).cast("long"), F.lit(AS_OF).cast("long"))).alias("ts"))
     return temporal.as_of_join(reads, _versions(spark, sf_dir))
 
 

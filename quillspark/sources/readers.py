@@ -30,7 +30,7 @@ def listed_files(spark: SparkSession, listing: str, root: str, most_files: int =
         return spark.createDataFrame([], "doc_id long, name string, text string")
     wanted = spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "doc_id long, name string")
     files = spark.read.format("binaryFile").load([f"{root}/{n}" for n in names])
-    named = files.select(F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})").alias("name"), "length", F.decode("content", F.lit("UTF-8")).alias("text"))
+    named = files.select(F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})").alias("name"), "length", F.decode("content", "UTF-8").alias("text"))
     before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = wanted.join(named.select("name", "length"), "name").withColumn("_before", F.coalesce(F.sum("length").over(before), F.lit(0)))  # at most MOST_FILES rows
     return sizes.where(F.col("_before") < most_bytes).select("doc_id", "name").join(named.select("name", "text"), "name").select("doc_id", "name", "text")

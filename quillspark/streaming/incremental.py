@@ -16,26 +16,11 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, id_col: str = "doc
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = f"{path}/batch={number}"
-        drop(spark, fresh)
-        ix.write_index(batch.withColumn("_segment", F.lit(f"b{number}")), fresh, "_segment", id_col, text_col)
+        ix.write_index(batch.withColumn("_segment", F.lit(f"b{number}")), path, "_segment", id_col, text_col, replace=True)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder, on whatever file system it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stream_index(spark: SparkSession, path: str) -> ix.Index:
-    """The index that index_stream() has written."""
-    read = lambda table: spark.read.schema(ix._SCHEMAS[table]).option("recursiveFileLookup", "false").option("basePath", path).parquet(f"{path}/batch=*/{table}")
-    return ix.Index(read("terms"), read("postings"), read("positions"), path)
-
-
 def wal_tail(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the records of a log folder."""
     return spark.readStream.schema(WAL).json(path)

@@ -1,0 +1,198 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import expand, highlight, index, match, phrase
+from quillspark.plans.search import exact_search, search
+from quillspark.storage import new_path
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randrange(2, 14))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Document i has a word if 4, 5 or 7 divide i."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        marks = [w for k, w in ((4, "TESTWORD"), (5, "YESTWORDONE"), (7, "UESTWORDTWO")) if i % k == 0]
+        rows.append((i, f"{words(rng, 8)} fddsvc fewivx vncms {' '.join(marks)} {words(rng, 8)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs, index.write_index(docs, new_path(spark, "planted"))
+
+
+def test_planted_terms_are_found(spark, planted):
+    _, held = planted
+    for term in ("FDDSVC", "FEWIVX", "VNCMS"):
+        assert search(held, [term]).results.count() == 300
+    assert search(held, ["QQQQQZZZZZ"]).results.where("score > 100").count() == 0
+    assert exact_search(held, "DOES;NOT").count() == 0
+
+
+def test_all_terms_is_the_intersection(planted):
+    _, held = planted
+    found = search(held, ["TESTWORD", "YESTWORDONE", "UESTWORDTWO"]).results
+    assert {r.doc_id for r in found.collect()} >= {0, 140, 280}
+    exact = search(held, ["TESTWORD", "YESTWORDONE", "UESTWORDTWO"], window="prefix").results
+    assert {r.doc_id for r in exact.collect()} == {0, 140, 280}
+
+
+def test_all_is_within_any_and_fallback(planted):
+    _, held = planted
+    every = {r.doc_id for r in search(held, ["TESTWORD", "YESTWORDONE"], window="prefix").results.collect()}
+    some = {r.doc_id for r in search(held, ["TESTWORD", "YESTWORDONE"], "or", "prefix").results.collect()}
+    assert every < some
+    fallback = search(held, ["TESTWORD", "QXQXQXQX"], "and_or_fallback", "prefix").results
+    assert {r.doc_id for r in fallback.collect()} == {i for i in range(300) if i % 4 == 0}
+    with pytest.raises(ValueError):
+        search(held, [])
+    with pytest.raises(ValueError):
+        search(held, ["A"], "xor")
+
+
+def test_score_merges(spark):
+    scores = spark.createDataFrame([("s", 0, d, 1) for d in (2, 10, 11)] + [("s", 1, d, 1) for d in (0, 1, 2, 9, 10, 11)], "segment string, qpos int, doc_id long, score long")
+    assert {r.doc_id: r.score for r in match.match_any(scores).collect()} == {0: 1, 1: 1, 2: 2, 9: 1, 10: 2, 11: 2}
+    assert {r.doc_id: r.score for r in match.match_all(scores, 2).collect()} == {2: 2, 10: 2, 11: 2}  # 2.6, cut
+    assert match.match_all(scores, 3).count() == 0
+    assert match.match_all(scores.where("qpos = 0"), 1).count() == 3
+
+
+def test_random_lists_intersect(spark):
+    rng = random.Random(3)
+    lists = [{rng.randrange(2000) for _ in range(1500)} for _ in range(4)]
+    df = spark.createDataFrame([("s", q, d, 10) for q, x in enumerate(lists) for d in x], "segment string, qpos int, doc_id long, score long")
+    assert {r.doc_id for r in match.match_all(df, 4).collect()} == set.intersection(*lists)
+
+
+def test_merging_segments_is_building_at_once(spark, planted):
+    docs, _ = planted
+    parts = index.build(docs.withColumn("seg", F.concat(F.lit("p"), F.col("doc_id") % 3)), "seg")
+    merged = index.merge_segments(parts, ["p0", "p1", "p2"], "0")
+    once = index.build(docs)
+    assert merged.terms.exceptAll(once.terms).count() == 0 and once.terms.exceptAll(merged.terms).count() == 0
+    assert merged.postings.exceptAll(once.postings).count() == 0
+    assert index.inconsistencies(merged).count() == 0
+
+
+def test_compaction_leaves_few_segments(spark, planted):
+    docs, _ = planted
+    path, to = new_path(spark, "many"), new_path(spark, "few")
+    held = index.write_index(docs.withColumn("seg", F.concat(F.lit("p"), F.col("doc_id") % 10)), path, "seg")
+    assert held.terms.select("segment").distinct().count() == 10
+    few = index.compact(spark, path, to, 4)
+    assert few.terms.select("segment").distinct().count() == 4
+    assert few.positions.count() == held.positions.count() and index.inconsistencies(few).count() == 0
+
+
+def test_inconsistency_is_reported(planted):
+    _, held = planted
+    broken = index.Index(held.terms.withColumn("cf", F.col("cf") + 1), held.postings, held.positions)
+    assert {r.problem for r in index.inconsistencies(broken).collect()} == {"positions", "postings"}
+
+
+def test_tiers_hold_256_by_rising_frequency(spark):
+    rows = [("0", "T", d, 1 + d % 5) for d in range(600)]
+    tiers = index.tier_blocks(spark.createDataFrame(rows, "segment string, term string, doc_id long, tf int")).collect()
+    sizes = {}
+    for r in tiers:
+        sizes.setdefault(r.tier, []).append(r.tf)
+    assert [len(sizes[t]) for t in sorted(sizes)] == [256, 256, 88]
+    assert max(sizes[0]) <= min(sizes[1]) and max(sizes[1]) <= min(sizes[2])
+
+
+def test_positions_give_the_words_back(planted):
+    docs, held = planted
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in held.positions.limit(500).collect():
+        assert texts[r.doc_id][r.pos : r.pos + len(r.term)].upper() == r.term
+
+
+def test_phrases_rank_first(spark):
+    rows = [(i, "zebrafish quickstep moonlight" if i % 3 == 0 else f"zebrafish {'pad ' * (10 + i)}quickstep {'pad ' * 20}moonlight") for i in range(1, 31)]
+    held = index.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    ranked = search(held, ["ZEBRAFISH", "QUICKSTEP", "MOONLIGHT"], window="prefix").by_phrase().orderBy(F.col("score").desc(), "doc_id").collect()
+    assert [r.doc_id for r in ranked[:10]] == [i for i in range(1, 31) if i % 3 == 0]
+    assert ranked[0].difference == 0
+
+
+def test_pair_gaps_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [("s", rng.choice("AB"), d, p) for d in range(20) for p in rng.sample(range(200), rng.randrange(1, 12))]
+    found = {r.doc_id: r.gap for r in phrase.pair_gaps(spark.createDataFrame(rows, "segment string, term string, doc_id long, pos int"), ["A", "B"]).collect()}
+    for d in range(20):
+        a, b = ([p for _, t, x, p in rows if x == d and t == w] for w in "AB")
+        gaps = [y - x for x in a for y in b if y >= x]
+        assert found[d] == (min(gaps) if gaps else None)
+
+
+def merged(places):
+    out = []
+    for pos, size in sorted(places):
+        if out and pos - out[-1][0] - out[-1][1] < 30:
+            out[-1] = (out[-1][0], size + pos - out[-1][0])
+        else:
+            out.append((pos, size))
+    return out
+
+
+def test_spans_and_snippets(spark):
+    rng = random.Random(9)
+    lists = [[(rng.randrange(500), rng.randrange(3, 9)) for _ in range(rng.randrange(0, 20))] for _ in range(30)]
+    text = words(rng, 200)
+    df = spark.createDataFrame([(i, x, text) for i, x in enumerate(lists)], "i int, x array<struct<pos:int,len:int>>, t string")
+    for r in df.select("i", highlight.merged_spans(F.col("x")).alias("s"), highlight.snippet(F.col("t"), highlight.merged_spans(F.col("x"))).alias("cut")).collect():
+        spans = merged(lists[r.i])
+        assert [tuple(x) for x in r.s] == spans
+        shown = sorted((size, pos) for pos, size in spans)[-6:]
+        assert r.cut == "...".join(text[pos : pos + size] for size, pos in shown)
+
+
+def test_marked_segments_give_the_text_back(spark, planted):
+    docs, held = planted
+    page = search(held, ["FDDSVC", "TESTWORD"]).page(docs, 5)
+    got = page.join(docs, "doc_id").select("text", highlight.marked_segments(F.col("text"), F.col("matches")).alias("m")).collect()
+    assert len(got) == 5
+    for r in got:
+        assert "".join(x.text for x in r.m) == r.text
+        assert any(re.search("fddsvc", x.text) for x in r.m if x.mark)
+
+
+def test_page_keeps_documents_without_spans(spark, planted):
+    docs, held = planted
+    page = search(held, ["FDDSVC"]).page(docs, 20).collect()
+    assert len(page) == 20 and [r.score for r in page] == sorted((r.score for r in page), reverse=True)
+
+
+def test_joined_segments(spark):
+    rng = random.Random(2)
+    rows = [(f"s{s}", s * 1000 + d, rng.randrange(1, 200)) for s in range(3) for d in range(50)]
+    found = {r.doc_id for r in match.joined_segments(spark.createDataFrame(rows, "segment string, doc_id long, score long")).collect()}
+    kept, mean = [], 0.0
+    for _, doc, score in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        if len(kept) < 40 or score >= int(mean / 1.2):
+            mean = (len(kept) * mean + score) / (len(kept) + 1)
+            kept.append(doc)
+    assert found == set(kept)
+
+
+def test_builder(spark):
+    builder = index.IndexBuilder(spark)
+    assert builder.persist() is None
+    held = builder.append_text("hello world testing earth\0hidden", 182).concat(index.IndexBuilder(spark).append_text("jumping fox", 183)).persist("one")
+    assert {r.term for r in held.terms.collect()} == {"HELLO", "WORLD", "TESTING", "EARTH", "JUMPING", "FOX"}
+    again = builder.append_text("hello again", 184).persist("two")
+    assert {r.segment for r in again.terms.collect()} == {"one", "two"}
+    assert {r.doc_id for r in search(again, ["HELLO"]).results.collect()} == {182, 184}
+
+
+def test_empty_index(spark):
+    held = index.build(spark.createDataFrame([], "doc_id long, text string"))
+    assert search(held, ["ANY", "THING"]).results.count() == 0
+    assert expand.scanned_terms(held, expand.query_terms(spark, ["ANY"])).count() == 0
