@@ -186,7 +186,9 @@ def postings(chunk: Chunk, table: np.ndarray) -> dict[int, np.ndarray]:
     inside = at + 3 <= chunk.bounds[row + 1]
     keys = np.unique(codes[at[inside]].astype(np.int64) << 32 | row[inside])
     tri, rows = keys >> 32, keys & 0xFFFFFFFF
-    first = np.flatnonzero(np.concatenate([[True], tri[1:] != tri[:-1]])) if len(tri) else np.zeros(0, int)
+    if not len(tri):
+        return {}
+    first = np.flatnonzero(np.concatenate([[True], tri[1:] != tri[:-1]]))
     return {int(tri[a]): rows[a:b] for a, b in zip(first, np.append(first[1:], len(tri)), strict=True)}
 
 
