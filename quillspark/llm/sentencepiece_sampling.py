@@ -35,7 +35,8 @@ SAMPLES = 2
 #: Exponent on piece weights: above 1 the samples keep nearer to the likeliest pieces.
 SHARPNESS = 1.0
 
-_SPACE = "▁".encode()
+#: Bytes of text, about, whose lattices are searched at once.
+_CHUNK = 1 << 20
 
 
 @dataclass
@@ -514,8 +515,10 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
     log_prob is the segmentation's normalised log-probability, key its perturbed
     value, inclusion the chance that its key passes the next one after the last
     sample (1 if there is none), so that exp(log_prob) / inclusion are weights
-    for estimates; decodes tells whether the ids give the text back. A text with
-    fewer segmentations has fewer rows; a null or empty text has one row of no
+    for estimates; decodes tells whether the ids give the text back. The three
+    numbers are rounded to 6 decimals. A text with fewer segmentations has fewer
+    rows, as has one whose other segmentations in a unit hold less than 1e-12 of
+    the probability, which double precision can't tell from none; a null or empty text has one row of no
     ids, log_prob 0 and inclusion 1 (a null one as null ids, decodes null).
     Draws depend on seed and id alone, so repeated rows give equal rows, and
     null ids share their draws. Other columns are ignored. An empty table gives
@@ -537,7 +540,7 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
             plain = _plain(texts)
             same = pyarrow.compute.fill_null(pyarrow.compute.equal(plain, texts), True).to_numpy(zero_copy_only=False).astype(bool)
             seeds = mix64(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
-            for c in chunks(plain):
+            for c in chunks(plain, _CHUNK):
                 b = Batch(c, store)
                 s = sample(b, c.rows, seeds[c.lo : c.hi], samples)
                 data, at = decode_rows(s.ids, s.count, lattices)
@@ -559,9 +562,9 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
                         batch.column(0).take(pa.array(c.lo + row)),
                         pa.array(np.concatenate([s.rank, pad + 1]).astype(np.int32)),
                         lists,
-                        pa.array(np.concatenate([s.log_p, pad])),
-                        pa.array(np.concatenate([s.key, pad])),
-                        pa.array(np.concatenate([s.inclusion, pad + 1])),
+                        pa.array(np.concatenate([np.round(s.log_p, 6), pad])),
+                        pa.array(np.concatenate([np.round(s.key, 6), pad])),
+                        pa.array(np.concatenate([np.round(s.inclusion, 6), pad + 1])),
                         pa.array(np.concatenate([good, pad == 0]), mask=none),
                     ],
                     names=["_id", "rank", "ids", "log_prob", "key", "inclusion", "decodes"],
