@@ -1,44 +1,5 @@
 """Where intermediate tables are kept, and what is small enough to broadcast."""
 
-from __future__ import annotations
+from quillspark.storage import BROADCAST_ROWS, shared_folder, small, written
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows of a table that may be sent whole to every executor.
-BROADCAST_ROWS = 1 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Only where the cluster names none, as in tests on one machine, is a folder
-    made and set for this session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="quillspark-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, computed once and read from a table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+__all__ = ["BROADCAST_ROWS", "shared_folder", "small", "written"]
