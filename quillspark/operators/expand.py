@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.operators.index import Index
+from quillspark.storage import held, local_rows
 
 #: Keys of at least this score count for positions, besides exact ones.
 POSITION_SCORE = 20
@@ -17,12 +20,12 @@ def query_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
     """(qpos, q, qkey) of the terms of a query, in their order."""
     if not terms:
         raise ValueError("a search needs at least one term")
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "qpos int, q string")
+    rows = local_rows(spark, list(enumerate(terms)), "qpos int, q string")
     return rows.withColumn("qkey", T.term_key(F.col("q")))
 
 
 def window_bounds(terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """(segment, qpos, q, first_ord, end_key): where the scan of a segment's terms for each query term begins and with which key it ends.
+    """(segment, qpos, q, first_ord, first_key, end_key): where the scan of a segment's terms for each query term begins and with which key it ends.
 
     Bounds are taken from every tenth term: the last one under the query's key
     less a step on the fifth letter (or the first at all), and the first one
@@ -32,14 +35,25 @@ def window_bounds(terms: DataFrame, queries: DataFrame) -> DataFrame:
     stubs = terms.where("is_stub").select("segment", "term_ord", "k27")
     pairs = stubs.crossJoin(F.broadcast(queries))  # as many rows as the query has terms
     low, high = F.col("qkey") - T.KEY_STEP, F.col("qkey") + T.KEY_STEP
+    under, over = F.col("k27") < low, F.col("k27") > high
     found = pairs.groupBy("segment", "qpos", "q").agg(
-        F.max(F.when(F.col("k27") < low, F.col("term_ord"))).alias("under"),
-        F.min("term_ord").alias("first"),
-        F.min_by("k27", F.when(F.col("k27") > high, F.col("term_ord"))).alias("over"),
-        F.max_by("k27", "term_ord").alias("last"),
+        F.coalesce(F.max(F.when(under, F.col("term_ord"))), F.min("term_ord")).alias("first_ord"),
+        F.coalesce(F.max(F.when(under, F.col("k27"))), F.min("k27")).alias("first_key"),
+        F.coalesce(F.min(F.when(over, F.col("k27"))), F.max("k27")).alias("end_key"),
         F.max((F.col("k27") >= low).cast("int")).alias("reached"),
     )
-    return found.where("reached = 1").select("segment", "qpos", "q", F.coalesce("under", "first").alias("first_ord"), F.coalesce("over", "last").alias("end_key"))
+    return found.where("reached = 1").drop("reached")
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def _narrowed(table: DataFrame, column: str, spans: list[tuple[str, object, object]]) -> DataFrame:
+    """The table's rows in some segment and range of a column: both conditions reach the scan."""
+    ranges = sorted({(a, b) for _, a, b in spans})
+    segments = sorted({s for s, _, _ in spans})
+    return table.where(F.col("segment").isin(*segments) & _any([F.col(column).between(a, b) for a, b in ranges])) if spans else table.limit(0)
 
 
 def scanned_terms(index: Index, queries: DataFrame, window: str = "stub") -> DataFrame:
@@ -54,7 +68,9 @@ def scanned_terms(index: Index, queries: DataFrame, window: str = "stub") -> Dat
         return pairs.select("segment", "qpos", "q", "term", "term_ord", T.match_score(F.col("q"), F.col("term")).alias("score"))
     if window != "stub":
         raise ValueError(f"no such window: {window}")
-    bounds = window_bounds(terms, queries)
+    bounds, rows = held(window_bounds(terms, queries))
+    if rows is not None:
+        terms = _narrowed(terms, "k27", [(r.segment, r.first_key, r.end_key) for r in rows])
     inside = (F.col("t.segment") == F.col("b.segment")) & (F.col("t.term_ord") >= F.col("b.first_ord")) & (F.col("t.k27") <= F.col("b.end_key"))
     pairs = terms.select("segment", "term", "term_ord", "k27").alias("t").join(F.broadcast(bounds).alias("b"), inside)  # a row a segment and query term
     first = Window.partitionBy("segment", "qpos").orderBy("term_ord")
@@ -66,16 +82,26 @@ def scanned_terms(index: Index, queries: DataFrame, window: str = "stub") -> Dat
 def expanded_terms(index: Index, queries: DataFrame, window: str = "stub") -> DataFrame:
     """(segment, qpos, q, term, score) of the accepted terms: in order of the alphabet, each must reach the cutoff of the moment."""
     scored = scanned_terms(index, queries, window)
-    # below the first cutoff nothing is accepted, and the cutoff never falls under it while scores are that high
+    # a score below the first cutoff is never accepted, as the cutoff never falls under it
     lists = scored.where(F.col("score") >= F.lit(T.FIRST_CUTOFF)).groupBy("segment", "qpos", "q").agg(F.collect_list(F.struct("term_ord", "term", "score")).alias("keys"))
     kept = lists.select("segment", "qpos", "q", F.explode(T.accepted_keys(F.col("keys"))).alias("k"))
     return kept.select("segment", "qpos", "q", F.col("k.term").alias("term"), F.col("k.score").alias("score"))
 
 
+def hit_scores(index: Index, keys: DataFrame, rows: list | None = None) -> DataFrame:
+    """(segment, qpos, doc_id, score) of every posting of every accepted key. With the keys' rows, only their ranges of terms are read."""
+    postings = index.postings
+    if rows is not None:
+        spans: dict[tuple[str, int], list[str]] = {}
+        for r in rows:
+            spans.setdefault((r.segment, r.qpos), []).append(r.term)
+        postings = _narrowed(postings, "term", [(s, min(x), max(x)) for (s, _), x in spans.items()])
+    return postings.join(F.broadcast(keys), ["segment", "term"]).select("segment", "qpos", "doc_id", T.posting_score(F.col("tf"), F.col("score")).alias("score"))  # the accepted keys of a query are few
+
+
 def document_scores(index: Index, keys: DataFrame) -> DataFrame:
     """(segment, qpos, doc_id, score) summed over a query term's accepted keys."""
-    hits = index.postings.join(F.broadcast(keys), ["segment", "term"])  # the accepted keys of a query are few
-    return hits.groupBy("segment", "qpos", "doc_id").agg(F.sum(T.posting_score(F.col("tf"), F.col("score"))).alias("score"))
+    return hit_scores(index, keys).groupBy("segment", "qpos", "doc_id").agg(F.sum("score").alias("score"))
 
 
 def position_keys(keys: DataFrame) -> DataFrame:

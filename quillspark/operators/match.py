@@ -15,17 +15,20 @@ JOIN_FIRST, JOIN_DIVISOR = 40, 1.2
 def match_all(scores: DataFrame, terms: int) -> DataFrame:
     """(segment, doc_id, score) of the documents that have all of so many query terms.
 
-    Of scores (segment, qpos, doc_id, score). A single term's scores stay; more
-    are added up as doubles, that of the term with the fewest documents first,
-    each with ALL_FACTOR, and cut to a whole number.
+    Of scores (segment, qpos, doc_id, score), any number of them for a term and
+    document. A single term's scores stay; more are added up as doubles, that of
+    the term with the fewest documents in the segment first, each with
+    ALL_FACTOR, and cut to a whole number. One shuffle, by document.
     """
+    sums = [F.sum(F.when(F.col("qpos") == i, F.col("score"))).alias(f"s{i}") for i in range(terms)]
+    wide = scores.groupBy("segment", "doc_id").agg(*sums)
     if terms == 1:
-        return scores.select("segment", "doc_id", "score")
-    sizes = scores.groupBy("segment", "qpos").agg(F.count(F.lit(1)).alias("size"))
-    ranked = scores.join(F.broadcast(sizes), ["segment", "qpos"])  # a row a segment and query term
-    lists = ranked.groupBy("segment", "doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "qpos", "score"))).alias("parts")).where(F.size("parts") == terms)
-    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x.getField("score").cast("double") * F.lit(ALL_FACTOR))
-    return lists.select("segment", "doc_id", total.cast("long").alias("score"))
+        return wide.select("segment", "doc_id", F.col("s0").alias("score"))
+    sizes = wide.groupBy("segment").agg(*[F.count(f"s{i}").alias(f"n{i}") for i in range(terms)])
+    full = wide.where(" AND ".join(f"s{i} IS NOT NULL" for i in range(terms))).join(F.broadcast(sizes), "segment")  # a row a segment
+    parts = F.array_sort(F.array(*[F.struct(F.col(f"n{i}").alias("size"), F.lit(i).alias("qpos"), F.col(f"s{i}").alias("score")) for i in range(terms)]))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x.getField("score").cast("double") * F.lit(ALL_FACTOR))
+    return full.select("segment", "doc_id", total.cast("long").alias("score"))
 
 
 def match_any(scores: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import expand, highlight, match, phrase
 from quillspark.operators.index import Index
+from quillspark.storage import held
 
 MODES = ("and", "or", "and_or_fallback")
 
@@ -47,13 +48,18 @@ class Found:
 
 
 def search(index: Index, terms: list[str], mode: str = "and", window: str = "stub") -> Found:
-    """Documents that answer the terms, in capitals: all of them, any, or any where all give nothing."""
+    """Documents that answer the terms, in capitals: all of them, any, or any where all give nothing.
+
+    The terms' bounds and the accepted keys are found at once, as small jobs
+    over the vocabulary, so that the postings are read by ranges of terms; the
+    results are a plan.
+    """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
     terms = [t.upper() for t in terms if t]
     queries = expand.query_terms(index.terms.sparkSession, terms)
-    keys = expand.expanded_terms(index, queries, window)
-    scores = expand.document_scores(index, keys)
+    keys, rows = held(expand.expanded_terms(index, queries, window))
+    scores = expand.hit_scores(index, keys, rows)
     results = {"and": lambda: match.match_all(scores, len(terms)), "or": lambda: match.match_any(scores), "and_or_fallback": lambda: match.match_all_or_any(scores, len(terms))}[mode]()
     return Found(index, terms, keys, results)
 

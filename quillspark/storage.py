@@ -41,3 +41,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows; else left to a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Rows that a step of a query may hold on the driver to narrow the next step's scan.
+HELD_ROWS = 1000
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a relation of the plan itself, with no job behind it."""
+    fields = [x.split() for x in schema.split(", ")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = [F.struct(*[F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*cells)))
+
+
+def held(df: DataFrame) -> tuple[DataFrame, list | None]:
+    """df and its rows if they are few, so that a later step can be narrowed by them; else df alone."""
+    rows = df.limit(HELD_ROWS + 1).collect()
+    if len(rows) > HELD_ROWS:
+        return df, None
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return local_rows(df.sparkSession, [tuple(r) for r in rows], schema), rows
