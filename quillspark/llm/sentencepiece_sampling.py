@@ -36,7 +36,7 @@ SAMPLES = 2
 SHARPNESS = 1.0
 
 #: Bytes of text, about, whose lattices are searched at once.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 @dataclass
@@ -120,7 +120,7 @@ _CHAR[0xF0:] = 4
 class Store:
     """Lattices of the distinct units met so far in a task; begun anew when it grows past its bound."""
 
-    BOUND = 1 << 22
+    BOUND = 1 << 20
 
     def __init__(self, lattices: Lattices) -> None:
         self.lattices = lattices
