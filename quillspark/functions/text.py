@@ -28,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sums(numbers: Column, block: int = 128) -> Column:
+def running_sums(numbers: Column, block: int = 32) -> Column:
     """The sum up to each element of an array of whole numbers.
 
     An array grows by being copied, so sums are first made block by block, and

@@ -24,14 +24,20 @@ TIER_BLOCK = 256
 SEGMENT_BYTES = 200_000_000
 MOST_SEGMENTS = 8
 
+#: Files of a segment's positions and of its postings, at most; each is sorted by term.
+SEGMENT_FILES = 16
+
 
 def positions_of(docs: DataFrame, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True) -> DataFrame:
-    """(segment, term, doc_id, pos) of every index term of every document; no shuffle.
+    """(segment, term, doc_id, pos) of every index term of every document; documents are dealt out only where they come in fewer splits than there are cores.
 
     segment names a column of docs; without it all rows are of segment '0'.
     Null and empty texts have no terms.
     """
     name = F.col(segment).cast("string") if segment else F.lit("0")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if not docs.isStreaming and docs.rdd.getNumPartitions() < cores:  # a few files whose splits are fewer than the cores
+        docs = docs.select(*{segment, id_col, text_col} - {None}).repartition(cores)
     rows = docs.select(name.alias("segment"), F.col(id_col).alias("doc_id"), F.explode(T.tokens(F.col(text_col), stop_words)).alias("t"))
     return rows.select("segment", F.col("t.term").alias("term"), "doc_id", F.col("t.pos").alias("pos"))
 
@@ -91,7 +97,9 @@ _SCHEMAS = {
 def _sorted_write(df: DataFrame, path: str, table: str, keys: list[str]) -> None:
     names = [x.split()[0] for x in _SCHEMAS[table].split(", ")]
     typed = df.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in _SCHEMAS[table].split(", ")]).select(*names)
-    typed.repartitionByRange("segment", "term").sortWithinPartitions("segment", *keys).write.mode("append").partitionBy("segment").parquet(f"{path}/{table}")
+    if table != "terms":  # those come from one sort a segment already
+        typed = typed.repartition("segment", F.pmod(F.hash("term"), F.lit(SEGMENT_FILES)))
+    typed.sortWithinPartitions("segment", *keys).write.mode("append").partitionBy("segment").parquet(f"{path}/{table}")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
