@@ -8,6 +8,8 @@ leads, are sorted by Gray rank. Neighbours in that order share masked patterns,
 which go up into a tree: a leaf has what its fingerprints agree on, a node above
 what its children do. Tree is joined to tree from the top down: a pair of nodes
 goes, with all under it, once the bits settled in both differ too often.
+Pairs within the radius are candidates: a pair is a link only if its texts share
+OVERLAP of their word shingles, as fingerprints of long texts come near by chance.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ from quillspark.llm.runtime import small, written
 RADIUS = 23
 SEGMENTS = 8
 
+#: Words in a shingle, and the share of all shingles of two texts that a link must have in common.
+SHINGLE = 3
+OVERLAP = 0.2
+
+#: Pairs of texts that are compared at a time.
+_TEXTS = 256
+
 #: Fingerprints in a block, about; a larger table is cut by the first bits of the Gray rank.
 BLOCK = 1 << 18
 
@@ -193,22 +202,43 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each place to its component's root: as many components as all pairs give, without their number."""
-    root, held, some = np.arange(n), [], 0
-    for a, b in pairs:
-        held.append((a, b))
-        some += len(a)
+    """Some of the pairs, fewer than n, that join all that all pairs join."""
+    a = b = np.zeros(0, np.int64)
+    held, some = [], 0
+    for x, y in pairs:
+        held.append((x, y))
+        some += len(x)
         if some > 1 << 21:
-            root = roots(n, np.concatenate([np.arange(n), *(x for x, _ in held)]), np.concatenate([root, *(y for _, y in held)]))
+            a, b = _tree(n, np.concatenate([a, *(p for p, _ in held)]), np.concatenate([b, *(q for _, q in held)]))
             held, some = [], 0
-    if held:
-        root = roots(n, np.concatenate([np.arange(n), *(x for x, _ in held)]), np.concatenate([root, *(y for _, y in held)]))
-    child = np.flatnonzero(root != np.arange(n))
-    return child, root[child]
+    return _tree(n, np.concatenate([a, *(p for p, _ in held)]), np.concatenate([b, *(q for _, q in held)]))
 
 
-def close_edges(fps: DataFrame, count: int, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
-    """(a, b): edges between ids of the distinct fingerprints (id, high, low) that join all within the radius, transitively."""
+def _tree(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges that are left when those that close a circle go."""
+    root, left, right = np.arange(n), [], []
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        high, pick = np.unique(np.maximum(x, y), return_index=True)
+        left.append(a[pick])
+        right.append(b[pick])
+        root[high] = np.minimum(x, y)[pick]
+        while True:
+            deeper = root[root]
+            if (deeper == root).all():
+                break
+            root = deeper
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def close_edges(fps: DataFrame, count: int, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """(a, b): pairs of ids of fingerprints (id, high, low) within the radius, enough to join all such pairs, transitively.
+
+    With every, all such pairs whose labels, in a fourth column, differ.
+    """
     width = 128 // segments
     most = radius // segments
     depth = min(width, max(0, int(np.ceil(np.log2(max(1, count) / block)))))
@@ -216,7 +246,7 @@ def close_edges(fps: DataFrame, count: int, radius: int = RADIUS, segments: int
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, high, low = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in range(3))
+            ids, high, low, label = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in range(4))
             tasks, sides, packed = [], [], []
             for segment in range(segments):
                 h, _ = turned(high, low, segment * width)
@@ -224,7 +254,7 @@ def close_edges(fps: DataFrame, count: int, radius: int = RADIUS, segments: int
                 prefix = (h >> U64(64 - depth)).astype(np.int64) if depth else place
                 for own in np.unique(place):
                     rows = np.flatnonzero(place == own)
-                    data = np.stack([ids[rows], high[rows], low[rows]], axis=1).tobytes()
+                    data = np.stack([ids[rows], high[rows], low[rows], label[rows]], axis=1).tobytes()
                     mine = int(prefix[rows[0]])
                     for code in _near(mine, depth, most):
                         for part in range(parts):
@@ -240,15 +270,19 @@ def close_edges(fps: DataFrame, count: int, radius: int = RADIUS, segments: int
         both = (task >> depth) & ((1 << depth) - 1) != task & ((1 << depth) - 1)
         sides = table.column("side").to_numpy()
         cells = table.column("packed").to_pylist()
-        held = [np.concatenate([np.zeros((0, 3), U64), *(np.frombuffer(c, U64).reshape(-1, 3) for c, s in zip(cells, sides, strict=True) if s == side)]) for side in range(2 if both else 1)]
+        held = [np.concatenate([np.zeros((0, 4), U64), *(np.frombuffer(c, U64).reshape(-1, 4) for c, s in zip(cells, sides, strict=True) if s == side)]) for side in range(2 if both else 1)]
         index = [GrayIndex(*turned(x[:, 1], x[:, 2], segment * width)) for x in held]
         base = len(held[0]) if both else 0
-        pairs = close_pairs(index[0], index[-1], radius, width, most, part, parts)
-        ids = np.concatenate([x[:, 0] for x in held]).view(np.int64)
-        child, root = forest(len(ids), ((a, b + base) for a, b in pairs))
-        return pa.table({"a": pa.array(ids[root]), "b": pa.array(ids[child])})
+        pairs = ((a, b + base) for a, b in close_pairs(index[0], index[-1], radius, width, most, part, parts))
+        ids, label = (np.concatenate([x[:, k] for x in held]).view(np.int64) for k in (0, 3))
+        if every:
+            apart = [(a[on], b[on]) for a, b in pairs for on in [label[a] != label[b]]]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*apart, strict=True) if apart else ((), ())))
+        else:
+            a, b = forest(len(ids), pairs)
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
-    return fps.select("id", "high", "low").mapInArrow(deal, "task long, side int, packed binary").groupBy("task").applyInArrow(join, "a long, b long")
+    return fps.select("id", "high", "low", "label" if every else F.lit(0).cast("long").alias("label")).mapInArrow(deal, "task long, side int, packed binary").groupBy("task").applyInArrow(join, "a long, b long")
 
 
 def _near(code: int, depth: int, most: int) -> list[int]:
@@ -301,21 +335,102 @@ def _printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.mapInArrow(run, "id long, text_hash long, high long, low long")
 
 
+def shingles(texts: pa.Array) -> np.ndarray:
+    """Sorted keys of the distinct shingles of up to 2^8 texts, the row in the upper bits; a text of fewer words is one shingle."""
+    found = [np.zeros(0, U64)]
+    for c in chunks(texts):
+        data = fold(c.data)
+        start, end = runs(_WORD[data], c.bounds)
+        h = RangeHash(VALUES[data])(start, end)
+        row = row_of(start, c.bounds)
+        last = np.searchsorted(row, row, side="right")
+        at = np.arange(len(row))
+        first = np.flatnonzero((at + SHINGLE <= last) | (at == np.searchsorted(row, row)))
+        key = RangeHash(h)(first, np.minimum(first + SHINGLE, last[first]))
+        found.append(((row[first] + c.lo).astype(U64) << U64(56)) | (key >> U64(8)))
+    return np.unique(np.concatenate(found))
+
+
+def alike(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Whether each text of up to 2^8 shares OVERLAP of all shingles, its own and the other's, with the other."""
+    x, y = shingles(left), shingles(right)
+    own, other, both = (np.bincount((k >> U64(56)).astype(np.int64), minlength=len(left)) for k in (x, y, np.intersect1d(x, y, assume_unique=True)))
+    return (both > 0) & (both >= OVERLAP * (own + other - both))
+
+
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of text hashes whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = [alike(b.column(2).slice(k, _TEXTS), b.column(3).slice(k, _TEXTS)) for k in range(0, b.num_rows, _TEXTS)]
+            yield b.select([0, 1]).filter(pa.array(np.concatenate([np.zeros(0, bool), *on])))
+
+    ends = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
+    shown = written(nodes.join(ends, "text_hash", "left_semi").select("id", "text_hash"), "shown")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).join(small(shown), ["id", "text_hash"], "left_semi")
+    left, right = (texts.select(F.col("text_hash").alias(k), F.col("text").alias(f"_{k}")) for k in ("a", "b"))
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long").distinct(), "links")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, radius: int, segments: int, block: int, edges: int) -> DataFrame:
+    """(a, b): pairs of text hashes within the radius and alike that join all such pairs, transitively.
+
+    First a forest of candidates is checked. Where all of a tree's are alike, no
+    other candidate could join more. The texts of other trees are compared in all
+    candidate pairs that the links so far leave apart.
+    """
+    fps = written(nodes.groupBy("high", "low").agg(F.min("text_hash").alias("id")), "distinct-fingerprints")
+    same = nodes.join(fps.withColumnRenamed("id", "a"), ["high", "low"]).where("text_hash <> a").select("a", F.col("text_hash").alias("b"))
+    order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = close_edges(fps, fps.count(), radius, segments, block).unionByName(same)
+    pairs = written(_spanning(written(pairs.select(*order).distinct(), "candidates"), edges), "tree")
+    links = _alike(docs, nodes, pairs, id_col, text_col)
+    apart = written(pairs.join(links, ["a", "b"], "left_anti"), "unlike")
+    if not apart.take(1):
+        return links
+    trees = written(components(pairs, edges), "trees")
+    doubtful = trees.join(apart.select(F.col("a").alias("id")), "id", "left_semi").select("root").distinct()
+    named = components(links, edges).withColumnRenamed("root", "label")
+    rest = trees.join(doubtful, "root", "left_semi").select("id").join(named, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    rest = written(rest.join(nodes.select(F.col("text_hash").alias("id"), "high", "low"), "id"), "doubtful")
+    more = written(close_edges(rest, rest.count(), radius, segments, block, every=True).select(*order).distinct().join(apart, ["a", "b"], "left_anti"), "other-candidates")
+    return links.unionByName(_alike(docs, nodes, more, id_col, text_col))
+
+
+def _spanning(pairs: DataFrame, most: int) -> DataFrame:
+    """Pairs that join all that these join, without those that close a circle; all of them where they are too many for a task."""
+    if pairs.count() > most:
+        return pairs
+
+    def tree(table: pa.Table) -> pa.Table:
+        a, b = (table.column(k).to_numpy() for k in ("a", "b"))
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = _tree(len(ids), place[: len(a)], place[len(a) :])
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(tree, "a long, b long")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, segments: int, block: int, edges: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with fingerprints, and (high, low, group_id, members) of every distinct fingerprint."""
+    """The rows with fingerprints, and (text_hash, group_id, members) of every distinct text."""
     rows = written(_printed(docs, id_col, text_col), "fingerprints")
     known = rows.where("high IS NOT NULL")
-    fps = written(known.groupBy("high", "low").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    named = written(components(close_edges(fps, fps.count(), radius, segments, block), edges), "components")
-    linked = fps.join(small(named), "id", "left").select("high", "low", "n", F.coalesce("root", "id").alias("group_id"))
+    nodes = written(known.groupBy("high", "low", "text_hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct-texts")
+    links = _links(docs, nodes, id_col, text_col, radius, segments, block, edges)
+    ids = nodes.select("text_hash", "id")
+    links = links.join(ids.withColumnsRenamed({"text_hash": "a", "id": "_a"}), "a").join(ids.withColumnsRenamed({"text_hash": "b", "id": "_b"}), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    named = written(components(links, edges), "components")
+    linked = nodes.join(small(named), "id", "left").select("text_hash", "n", F.coalesce("root", "id").alias("group_id"))
     sizes = linked.groupBy("group_id").agg(F.sum("n").alias("members")).where("members > 1")
-    return rows, linked.join(small(sizes), "group_id", "left").select("high", "low", "group_id", F.coalesce("members", F.lit(1)).alias("members"))
+    return rows, linked.join(small(sizes), "group_id", "left").select("text_hash", "group_id", F.coalesce("members", F.lit(1)).alias("members"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
     """For every row: id, group_id, members, is_duplicate.
 
-    Fingerprints within the radius are linked; a group is all that links join.
+    Texts with fingerprints within the radius that share OVERLAP of their word
+    shingles are linked; a group is all that links join.
     group_id is its smallest id, members its rows, is_duplicate whether another
     id stays for it. Repeated rows count as members. A null or wordless text,
     and a row with a null id, is not compared: it is a group of its own. Rows
@@ -323,7 +438,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored. An empty table gives no rows.
     """
     rows, table = _grouped(docs, id_col, text_col, radius, segments, block, edges)
-    found = rows.join(small(table), ["high", "low"], "left")
+    # texts that are not compared are in no group, whatever their hash
+    found = rows.where("high IS NOT NULL").join(small(table), "text_hash").select("id", "group_id", "members")
+    found = found.unionByName(rows.where("high IS NULL").select("id", F.lit(None).cast("long").alias("group_id"), F.lit(None).cast("long").alias("members")))
     group = F.coalesce("group_id", "id")
     return found.select(F.col("id").alias(id_col), group.alias("group_id"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce(F.col("id") != group, F.lit(False)).alias("is_duplicate"))
 
@@ -336,7 +453,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     another text under that same id stays too.
     """
     rows, table = _grouped(docs, id_col, text_col, radius, segments, block, edges)
-    found = rows.where("high IS NOT NULL").join(small(table.where("members > 1")), ["high", "low"])
+    found = rows.where("high IS NOT NULL").join(small(table.where("members > 1")), "text_hash")
     gone = found.where("id <> group_id").select("id", "text_hash").distinct()
     columns = docs.columns
     keyed = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))

@@ -176,6 +176,20 @@ def test_copies_are_caught_and_others_left(spark):
     assert gone & others == set() and len(gone & copies) >= 0.9 * len(copies)
 
 
+def test_near_fingerprints_of_other_texts_are_no_link(spark):
+    """One bag of words in two orders has one fingerprint; copies of each join, the two don't."""
+    rng = random.Random(4)
+    words = prose(rng, 300).split()
+    other = words.copy()
+    rng.shuffle(other)
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join([*words[:-1], "changed"])), (4, " ".join([*other[:-1], "changed"])), (5, " ".join(words).upper()), (6, " ".join(other) + "!")]
+    found = {r.doc_id: (r.group_id, r.members) for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    assert found == {1: (1, 3), 3: (1, 3), 5: (1, 3), 2: (2, 3), 4: (2, 3), 6: (2, 3)}
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table(spark, rows)).collect()) == [1, 2]
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicates(table(spark, rows), block=2, edges=0).collect()}
+    assert found == {1: 1, 3: 1, 5: 1, 2: 2, 4: 2, 6: 2}
+
+
 # passages -------------------------------------------------------------------------------------------------------------
 
 
