@@ -4,7 +4,9 @@ Numbers, names and units become typed placeholders; windows of the templates of
 benchmark items are joined by hash to the windows of every document; and a match
 counts only where its slots agree: equal values of the item must stand for equal
 values of the document, and different for different. So a question is caught
-again with other numbers or names in it.
+again with other numbers or names in it. Windows of the plain words, whatever
+their case, are joined besides: what is capitals, names or numbers for the most
+part has no template to speak of, but is found as an exact copy.
 """
 
 from __future__ import annotations
@@ -117,6 +119,15 @@ def tokens(chunk: Chunk) -> Tokens:
     return Tokens(start, end, value, code, kinds, row)
 
 
+def plain_windows(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and hash of the values of each window of size tokens within a row."""
+    n = len(t.value) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    first = np.flatnonzero(t.row[:n] == t.row[size - 1 :])
+    return first, RangeHash(t.value)(first, first + size)
+
+
 def windows(t: Tokens, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First token and hash of each window of size tokens within a row that has words enough."""
     n = len(t.code) - size + 1
@@ -129,17 +140,19 @@ def windows(t: Tokens, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Window hashes of the benchmark: for each size, sorted hashes with item and offset; and the items' tokens."""
+    """Window hashes of the benchmark, of templates and of plain words: for each size, sorted hashes with item and offset; and the items' tokens."""
 
     items: list[int | None]
     kinds: list[np.ndarray]
     values: list[np.ndarray]
     sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    plain: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def build_index(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> Index:
     """Index of (item, text) pairs; items of fewer than SHORTEST tokens have no windows."""
     found: dict[int, list[tuple[int, int, int]]] = {}
+    plain: dict[int, list[tuple[int, int, int]]] = {}
     kinds, values = [], []
     for k, (_, text) in enumerate(items):
         c = next(chunks(pa.array([text or ""], pa.string())))
@@ -148,13 +161,18 @@ def build_index(items: list[tuple[int | None, str | None]], size: int = WINDOW)
         values.append(t.value)
         width = min(size, len(t.code))
         if width >= SHORTEST:
-            for first, h in zip(*windows(t, 1, width), strict=True):
-                found.setdefault(width, []).append((int(h), k, int(first)))
+            for into, own in ((found, windows(t, 1, width)), (plain, plain_windows(t, width))):
+                for first, h in zip(*own, strict=True):
+                    into.setdefault(width, []).append((int(h), k, int(first)))
+    return Index([i for i, _ in items], kinds, values, _sorted(found), _sorted(plain))
+
+
+def _sorted(found: dict[int, list[tuple[int, int, int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     sizes = {}
     for width, rows in sorted(found.items()):
         rows.sort()
         sizes[width] = (np.array([r[0] for r in rows], dtype=U64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-    return Index([i for i, _ in items], kinds, values, sizes)
+    return sizes
 
 
 def consistent(item_kind: np.ndarray, item_value: np.ndarray, doc_value: np.ndarray) -> bool:
@@ -168,31 +186,44 @@ def consistent(item_kind: np.ndarray, item_value: np.ndarray, doc_value: np.ndar
 
 
 def matches(c: Chunk, index: Index) -> list[tuple[int, int, int, int, int, bool]]:
-    """(row, item's place, first token, tokens, slots, exact) of each maximal consistent match in a chunk."""
+    """(row, item's place, first token, tokens, slots, exact) of each maximal match in a chunk, of templates or of plain words."""
     t = tokens(c)
     first_token = np.searchsorted(t.row, np.arange(c.rows))
-    out = []
-    for size, (keys, item, offset) in index.sizes.items():
-        first, h = windows(t, c.rows, size)
-        table = np.zeros(1 << 20, dtype=bool)
-        table[(keys >> U64(44)).astype(np.int64)] = True
-        maybe = np.flatnonzero(table[(h >> U64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-        runs_of: dict[tuple[int, int, int], list[int]] = {}
-        for at, a, b in zip(first[maybe].tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for k in range(a, b):
-                i, o = int(item[k]), int(offset[k])
-                runs_of.setdefault((int(t.row[at]), i, at - o), []).append(at)
-        for (row, i, shift), hits in runs_of.items():
-            hits.sort()
-            begin = hits[0]
-            for k, at in enumerate(hits):
-                if k + 1 < len(hits) and hits[k + 1] <= at + size:
-                    continue
-                out += _agreeing(t, index, size, row, i, shift, begin, at + size, int(first_token[row]))
-                if k + 1 < len(hits):
-                    begin = hits[k + 1]
-    return out
+    found: dict[tuple[int, int, int], list[tuple[int, int, int, int, int, bool]]] = {}
+    for size, keys in index.sizes.items():
+        for row, i, shift, begin, end in _aligned(t, keys, size, *windows(t, c.rows, size)):
+            found.setdefault((row, i, shift), []).extend(_agreeing(t, index, size, row, i, shift, begin, end, int(first_token[row])))
+    for size, keys in index.plain.items():
+        for row, i, shift, begin, end in _aligned(t, keys, size, *plain_windows(t, size)):
+            own = found.setdefault((row, i, shift), [])
+            at, stop = begin - int(first_token[row]), end - int(first_token[row])
+            if not any(m[2] <= at and stop <= m[2] + m[3] for m in own):
+                slots = int((index.kinds[i][begin - shift : end - shift] != WORD).sum())
+                own[:] = [m for m in own if not (m[5] and at <= m[2] and m[2] + m[3] <= stop)] + [(row, i, at, end - begin, slots, True)]
+    return [m for own in found.values() for m in own]
+
+
+def _aligned(t: Tokens, held: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, first: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item's place, shift, first token, token past the last) of each run of overlapping or touching windows on one alignment that an index holds."""
+    keys, item, offset = held
+    table = np.zeros(1 << 20, dtype=bool)
+    table[(keys >> U64(44)).astype(np.int64)] = True
+    maybe = np.flatnonzero(table[(h >> U64(44)).astype(np.int64)])
+    lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
+    runs_of: dict[tuple[int, int, int], list[int]] = {}
+    for at, a, b in zip(first[maybe].tolist(), lo.tolist(), hi.tolist(), strict=True):
+        for k in range(a, b):
+            i, o = int(item[k]), int(offset[k])
+            runs_of.setdefault((int(t.row[at]), i, at - o), []).append(at)
+    for (row, i, shift), hits in runs_of.items():
+        hits.sort()
+        begin = hits[0]
+        for k, at in enumerate(hits):
+            if k + 1 < len(hits) and hits[k + 1] <= at + size:
+                continue
+            yield row, i, shift, begin, at + size
+            if k + 1 < len(hits):
+                begin = hits[k + 1]
 
 
 def _agreeing(t: Tokens, index: Index, size: int, row: int, i: int, shift: int, begin: int, end: int, base: int) -> list[tuple[int, int, int, int, int, bool]]:
@@ -245,10 +276,13 @@ def matched(index: Index) -> Column:
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(id, item_id, first_token, tokens, slots, exact) for every stretch of a document that repeats an item's template.
+    """(id, item_id, first_token, tokens, slots, exact) for every stretch of a document that repeats an item's template or its very words.
 
     A stretch is a run of overlapping windows on one alignment whose slots agree;
-    exact tells whether all its values are the item's own. Null and empty texts,
+    exact tells whether all its values are the item's own. A run of windows of the
+    same words, case aside, is an exact stretch, however many are names or
+    numbers; it is left out within a stretch of the template, and takes the place
+    of exact ones within it. Null and empty texts,
     in either table, match nothing, nor do items of fewer than SHORTEST tokens;
     items between that and a window are one window. Repeated items each match;
     repeated rows are reported again, null ids as null. Other columns are

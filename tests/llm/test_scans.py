@@ -204,3 +204,15 @@ def test_matches_are_those_of_brute_force(spark):
                 expected |= {(d, i) for i, v in index.get((size, tuple(c for _, _, c in w)), []) if agrees(v, w)}
     found = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and expected
+
+
+def test_exact_copies_need_no_template(spark):
+    """Capitals, Title Case, and items of names or numbers for the most part."""
+    numbers = "12 14 19 23 31 48 60 77 85 91"
+    names = "the teams were Anton Berta Carl Doris Emil Franz Gustav Hanna Ida"
+    rows = [(1, f"before {ITEM.upper()} after"), (2, f"so {ITEM.title()} it was"), (3, f"draw {numbers} today"), (4, f"as said {names} in all"), (5, names.upper()), (6, "12 14 19 23 and nothing else of these 31 48 60 77")]
+    found = decontaminate.contaminations(table(spark, rows), items(spark, [ITEM, numbers, names])).collect()
+    whole = {0: len(ITEM.split()), 1: 10, 2: len(names.split())}
+    assert {(r.doc_id, r.item_id) for r in found if r.exact and r.tokens == whole[r.item_id]} == {(1, 0), (2, 0), (3, 1), (4, 2), (5, 2)}
+    assert Counter(r.doc_id for r in found if r.exact) == Counter([1, 2, 3, 4, 5]) and 6 not in {r.doc_id for r in found}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(table(spark, rows), items(spark, [ITEM, numbers, names])).collect()] == [6]
