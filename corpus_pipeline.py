@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the ones that language identification rejects: those with no letters to judge by."""
+    """Documents without the ones that language identification finds ambiguous, or has no letters to judge by."""
     return language.keep_identified(docs, language.train(docs))
 
 

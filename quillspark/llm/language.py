@@ -53,23 +53,22 @@ def trigram_buckets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """
     data = fold(chunk.data)
     letter = ((data >= 97) & (data <= 122)) | (data >= 0x80)
-    row = np.repeat(np.arange(chunk.rows), np.diff(chunk.bounds))
-    first = np.zeros(len(data) + 1, dtype=bool)
-    first[chunk.bounds] = True
-    first = first[: len(data)]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = letter[:-1]
-    before &= ~first
-    keep = letter | before | first
-    sym = np.where(letter, data, 32)[keep]
-    row = row[keep]
-    n = len(sym)
-    if n < 3:
-        return np.zeros(0, np.int64), np.zeros(chunk.rows, np.int64)
-    code = sym[:-2].astype(np.uint32) | (sym[1:-1].astype(np.uint32) << 8) | (sym[2:].astype(np.uint32) << 16)
-    same = row[:-2] == row[2:]
-    bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(19))[same]
-    return bucket.astype(np.int64), np.bincount(row[:-2][same], minlength=chunk.rows)
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[chunk.bounds] = True
+    before &= ~first[: len(data)]
+    at = np.flatnonzero(letter | before)
+    row = np.searchsorted(chunk.bounds, at, side="right") - 1
+    # a space before each row; one after it too, unless it has ended with one
+    size = np.bincount(row, minlength=chunk.rows)
+    start = np.concatenate([[0], np.cumsum(size + 2)])
+    sym = np.full(start[-1], 32, dtype=np.uint8)
+    sym[start[row] + 1 + np.arange(len(at)) - np.concatenate([[0], np.cumsum(size)])[row]] = np.where(letter, data, 32)[at]
+    middle = np.flatnonzero(sym != 32)
+    code = sym[middle - 1].astype(np.uint32) | (sym[middle].astype(np.uint32) << 8) | (sym[middle + 1].astype(np.uint32) << 16)
+    bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(19)
+    return bucket.astype(np.int64), np.bincount(np.searchsorted(start, middle, side="right") - 1, minlength=chunk.rows)
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -202,11 +201,11 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
     return rows.select(F.col("_id").alias(id_col), F.col("_found.language").alias("language"), F.coalesce("_found.lead", F.lit(0.0)).alias("lead"), F.coalesce("_found.ambiguous", F.lit(True)).alias("ambiguous"))
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """docs without the rows whose language can't be told; all columns stay.
 
-    A row goes if its text has no letters to judge by or, with a margin, if the
-    lead is less. Without a model every row goes.
+    A row goes if identify_languages() finds it ambiguous: its text has no letters
+    to judge by, or the lead is less than margin. Without a model every row goes.
     """
     if model is None:
         return docs.limit(0)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import re
 import random
 from collections import Counter, defaultdict
 
@@ -145,6 +146,27 @@ def test_language_of_odd_rows(spark):
     assert {r.language for r in language.identify_languages(df.where("doc_id < 20"), one).collect()} == {"en"}
 
 
+def test_rows_are_framed_by_spaces():
+    def trigrams(text):
+        framed = " " + re.sub("[^a-z]+", " ", text.lower()) + " "
+        return [(sum(ord(x) << 8 * k for k, x in enumerate(framed[i - 1 : i + 2])) * 0x9E3779B1 % 2**32) >> 19 for i in range(1, len(framed) - 1) if framed[i] != " "]
+
+    texts = ["a", "Ab", "", "A.", "12", " an 1 apple", "--x", None, "b c"]
+    c = next(chunks(pa.array(texts)))
+    bucket, counts = language.trigram_buckets(c)
+    assert counts.tolist() == [len(trigrams(t or "")) for t in texts] == [1, 2, 0, 1, 0, 7, 1, 0, 2]
+    assert bucket.tolist() == [x for t in texts for x in trigrams(t or "")]
+
+
+def test_what_is_ambiguous_is_not_kept(spark):
+    """A model that leans to no language leaves nothing by default, and all texts with a letter without a margin."""
+    even = language.Model(["de", "en"], language.codewords(2), np.zeros((language.FEATURES, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
+    df = table(spark, [(1, "some words", "en"), (2, "A.", "en"), (3, "12", "en")])
+    assert {r.ambiguous for r in language.identify_languages(df, even).collect()} == {True}
+    assert language.keep_identified(df, even).count() == 0
+    assert sorted(r.doc_id for r in language.keep_identified(df, even, margin=0.0).collect()) == [1, 2]
+
+
 # sampled segmentations ------------------------------------------------------------------------------------------------
 
 
