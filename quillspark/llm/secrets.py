@@ -24,18 +24,24 @@ from quillspark.llm.kernels import _FOLD, Chunk, chunks
 RULES: list[tuple[str, str]] = [
     ("aws_access_key_id", r"\b(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b"),
     ("github_token", r"\bgh[pousr]_[0-9A-Za-z]{36}\b"),
-    ("github_fine_grained", r"\bgithub_pat_[0-9A-Za-z_]{60,90}\b"),
-    ("slack_token", r"\bxox[abeoprs]-[0-9A-Za-z-]{10,90}"),
+    ("github_fine_grained", r"\bgithub_pat_[0-9A-Za-z_]{60,}\b"),
+    ("slack_token", r"\bxox[abeoprs]-[0-9A-Za-z-]{10,}"),
     ("google_api_key", r"\bAIza[0-9A-Za-z_-]{35}"),
-    ("stripe_key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,99}\b"),
+    ("stripe_key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b"),
     ("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
-    ("json_web_token", r"\beyJ[0-9A-Za-z_-]{10,900}\.eyJ[0-9A-Za-z_-]{10,900}\.[0-9A-Za-z_-]{10,900}"),
-    ("assignment", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?[0-9a-z_/+.-]{8,200}"),
-    ("bearer", r"(?i)\bbearer[ \t]+[0-9a-z_.=-]{20,900}"),
-    ("url_credentials", r"\b[a-z][a-z0-9+.-]{1,20}://[0-9A-Za-z._-]{1,64}:[0-9A-Za-z._~!$%-]{3,64}@"),
+    ("json_web_token", r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}"),
+    ("assignment", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?[0-9a-z_/+.-]{8,}"),
+    ("bearer", r"(?i)\bbearer[ \t]+[0-9a-z_.=-]{20,}"),
+    ("url_credentials", r"\b[a-z][a-z0-9+.-]{1,20}://[0-9A-Za-z._-]+:[0-9A-Za-z._~!$%-]{3,}@"),
     ("hex_key", r"\b(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b"),
 ]
 
+#: What the SQL has in place of open ends: (rule, open, bounded). It is kept as it was, and cuts or misses longer secrets.
+_BOUNDS = [
+    ("github_fine_grained", "{60,}", "{60,90}"), ("slack_token", "{10,}", "{10,90}"), ("stripe_key", "{16,}", "{16,99}"), ("json_web_token", "{10,}", "{10,900}"), ("assignment", "{8,}", "{8,200}"),
+    ("bearer", "{20,}", "{20,900}"), ("url_credentials", "_-]+:", "_-]{1,64}:"), ("url_credentials", "{3,}@", "{3,64}@"),
+]
+
 #: A query is True (any text), a trigram, or ("and" | "or", queries).
 Query = bool | bytes | tuple[str, tuple]
 
@@ -254,5 +260,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    one = " UNION ALL ".join("SELECT doc_id, '{}' AS rule, regexp_extract_all(text, '{}') AS found FROM documents".format(name, pattern.replace("'", "''")) for name, pattern in RULES)
+    """SQL that gives the same rows where no secret is longer than _BOUNDS."""
+    bounded = dict(RULES)
+    for name, free, bound in _BOUNDS:
+        bounded[name] = bounded[name].replace(free, bound)
+    one = " UNION ALL ".join("SELECT doc_id, '{}' AS rule, regexp_extract_all(text, '{}') AS found FROM documents".format(name, pattern.replace("'", "''")) for name, pattern in bounded.items())
     return f"SELECT doc_id, rule, unnest(range(1, len(found) + 1))::INT AS match_no, unnest(found) AS secret FROM ({one}) WHERE len(found) > 0"

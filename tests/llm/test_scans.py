@@ -40,6 +40,16 @@ def test_secrets_are_those_of_the_plain_regexes(spark):
     assert secrets.scan_secrets(table(spark, rows), []).count() == 0
 
 
+def test_long_secrets_are_whole(spark):
+    long = "a1B2" * 300
+    expected = {
+        "github_fine_grained": f"github_pat_{long}", "slack_token": f"xoxb-{long}", "stripe_key": f"sk_live_{long}", "json_web_token": f"eyJ{long}.eyJ{long}.{long}", "assignment": f"password={long}",
+        "bearer": f"Bearer {long}", "url_credentials": f"https://{long}:{long}@",
+    }
+    found = {(r.doc_id, r.rule, r.secret) for r in secrets.scan_secrets(table(spark, [(k, f"see {t} .") for k, t in enumerate(expected.values())])).collect()}
+    assert {(k, name, t) for k, (name, t) in enumerate(expected.items())} <= found
+
+
 def test_a_rule_without_trigrams_scans_fully(spark):
     rules = [("vowels", "[aeiou][1-3]"), ("either", "foo[0-9]|ba")]
     assert [secrets.trigram_query(p) for _, p in rules] == [True, True]
