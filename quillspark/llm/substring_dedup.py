@@ -5,7 +5,8 @@ BLOCK words. Every rolling window of BLOCK words probes the index of all blocks;
 a block that occurs twice is an anchor. As 2 * BLOCK words hold a whole block
 wherever they begin, any repeat of MIN_WORDS words holds an anchor. Around each
 anchor all stretches of MIN_WORDS words are compared with those around its other
-occurrences, and those that agree grow together to maximal exact repeats.
+occurrences, and those that agree grow together to maximal exact repeats, as long
+as the same documents share them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.kernels import U64, Chunk, HashTable, RangeHash, chunks, ranges, row_of, runs
+from quillspark.llm.kernels import U64, Chunk, HashTable, RangeHash, chunks, mix64, ranges, row_of, runs
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
 from quillspark.llm.runtime import written
 
@@ -199,11 +200,11 @@ def _stretches(block: int, least: int, buckets: int, table: HashTable | None) ->
     return run
 
 
-_SPAN = "id long, text_hash long, word int, past int, start int, stop int, first_id long"
+_SPAN = "id long, text_hash long, word int, past int, start int, stop int, first_id long, partners long"
 
 
-def _agreeing(least: int) -> Callable[[pa.Table], pa.Table]:
-    """Runs of neighbouring stretches that occur again, with the first document that has the run's first one."""
+def _agreeing(least: int, merged: bool) -> Callable[[pa.Table], pa.Table]:
+    """Runs of neighbouring stretches that occur again, in the same documents unless merged, with the first document that has the run's first one."""
 
     def run(table: pa.Table) -> pa.Table:
         h = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("hash").to_pylist()])
@@ -215,16 +216,21 @@ def _agreeing(least: int) -> Callable[[pa.Table], pa.Table]:
         size = np.diff(np.append(first, len(h)))
         keep = np.repeat(size > 1, size)
         origin = np.repeat(ids[first], size)[keep]
+        # a sum of random values of the documents, each once, stands for the set of them
+        own = np.where(new | np.concatenate([[True], ids[1:] != ids[:-1]]), mix64(ids.view(U64)), U64(0))
+        partners = np.repeat(np.add.reduceat(own, first).view(np.int64), size)[keep]
         ids, texts, word, start, stop = (x[keep] for x in (ids, texts, word, start, stop))
         order = np.lexsort((word, texts, ids))
-        ids, texts, word, start, stop, origin = (x[order] for x in (ids, texts, word, start, stop, origin))
+        ids, texts, word, start, stop, origin, partners = (x[order] for x in (ids, texts, word, start, stop, origin, partners))
         if len(ids):
             goes_on = (ids[1:] == ids[:-1]) & (texts[1:] == texts[:-1]) & (word[1:] - word[:-1] <= 1)
+            if not merged:
+                goes_on &= (origin[1:] == origin[:-1]) & (partners[1:] == partners[:-1])
             a = np.flatnonzero(np.concatenate([[True], ~goes_on]))
             z = np.append(a[1:], len(ids)) - 1
         else:
             a = z = np.zeros(0, np.int64)
-        return pa.table({"id": ids[a], "text_hash": texts[a], "word": word[a].astype(np.int32), "past": (word[z] + least).astype(np.int32), "start": start[a].astype(np.int32), "stop": stop[z].astype(np.int32), "first_id": origin[a]})
+        return pa.table({"id": ids[a], "text_hash": texts[a], "word": word[a].astype(np.int32), "past": (word[z] + least).astype(np.int32), "start": start[a].astype(np.int32), "stop": stop[z].astype(np.int32), "first_id": origin[a], "partners": partners[a]})
 
     return run
 
@@ -243,14 +249,17 @@ def _places(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, least: int = MIN_WORDS, most_anchors: int = ANCHORS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, least: int = MIN_WORDS, most_anchors: int = ANCHORS, merged: bool = True) -> DataFrame:
     """(id, start_char, end_char, words, first_id) of every maximal span of words that occur elsewhere.
 
     A stretch of `least` words is repeated if its exact bytes, from its first
     word to its last, occur at another place of any row. A span is a union of
     overlapping or touching repeated stretches, so each place of a longer repeat
     is whole. first_id is the smallest id that has the span's first stretch: the
-    row's own id where nothing earlier has it. Characters count from 0, the end
+    row's own id where nothing earlier has it. With merged=False a span ends where
+    the documents that share its stretches change, and another begins, which
+    overlaps it by less than `least` words: each repeated passage has a span and a
+    first_id of its own. Characters count from 0, the end
     excluded. Texts of fewer words, empty and null ones have no spans. Repeated
     rows repeat each other wholly and share their spans. Rows with a null id are
     left out, as nothing could name them. Other columns are ignored. An empty
@@ -274,13 +283,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         places = rows.mapInArrow(_places(block), "id long, text_hash long, word int, anchor long").join(hot, "anchor", "left_semi")
         lists = places.select("id", "text_hash", "word").distinct().groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("word")).alias("places"))
         sent = rows.join(lists, ["id", "text_hash"]).select("id", "text_hash", "text", "places").mapInArrow(_stretches(block, least, buckets, None), _STRETCH)
-    spans = sent.groupBy("bucket").applyInArrow(_agreeing(least), _SPAN)
-    own = Window.partitionBy("id", "text_hash").orderBy("word", "past")
+    spans = sent.groupBy("bucket").applyInArrow(_agreeing(least, merged), _SPAN)
+    same = ["id", "text_hash"] if merged else ["id", "text_hash", "first_id", "partners"]
+    own = Window.partitionBy(*same).orderBy("word", "past")
     reach = F.max("past").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    apart = spans.withColumn("_new", F.when(reach.isNull() | (F.col("word") > reach), 1).otherwise(0)).withColumn("_span", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = apart.groupBy("id", "text_hash", "_span").agg(F.min("start").alias("start_char"), F.max("stop").alias("end_char"), (F.max("past") - F.min("word")).alias("words"), F.min(F.struct("word", "first_id")).alias("_least"))
-    return merged.select(F.col("id").alias(id_col), "start_char", "end_char", "words", F.col("_least.first_id").alias("first_id"))
+    apart = spans.withColumn("_new", F.when(reach.isNull() | (F.col("word") > (reach if merged else reach - (least - 1))), 1).otherwise(0)).withColumn("_span", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = apart.groupBy(*same, "_span").agg(F.min("start").alias("start_char"), F.max("stop").alias("end_char"), (F.max("past") - F.min("word")).alias("words"), F.min(F.struct("word", F.col("first_id").alias("_first"))).alias("_least"))
+    return spans.select(F.col("id").alias(id_col), "start_char", "end_char", "words", F.col("_least._first").alias("first_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), merged=False)

@@ -244,3 +244,16 @@ def test_repeated_rows_share_their_passages(spark):
     assert substring_dedup.repeated_spans(table(spark, [])).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.repeated_spans(table(spark, []), block=30, least=50)
+
+
+def test_each_shared_passage_has_its_own_origin(spark):
+    rng = random.Random(9)
+    p, q, a, b = (prose(rng, n) for n in (30, 25, 40, 40))
+    whole = f"{a} {p} {b}"
+    rows = [(1, p), (2, q), (10, whole), (20, whole), (30, f"{prose(rng, 9)} {p} {q} {prose(rng, 9)}")]
+    for anchors in (substring_dedup.ANCHORS, -1):
+        found = substring_dedup.repeated_spans(table(spark, rows), block=3, least=6, most_anchors=anchors, merged=False).collect()
+        texts = dict(rows)
+        spans = {(r.doc_id, r.words, r.first_id, texts[r.doc_id][r.start_char : r.end_char]) for r in found}
+        assert {(i, 30, 1, p) for i in (1, 10, 20, 30)} | {(2, 25, 2, q), (30, 25, 2, q)} <= spans
+        assert {(i, k, 10) for i in (10, 20) for k in (45,)} == {(i, k, f) for i, k, f, _ in spans if i in (10, 20) and f == 10} and len(found) == 10
