@@ -29,7 +29,7 @@ _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contr
 _BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 _APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 
-#: (license, text): full texts and the notices that stand for them.
+#: (license, text): full texts of the short licenses, and notices that stand for a license.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC), ("ISC", "SPDX-License-Identifier: ISC"),
@@ -43,6 +43,21 @@ KNOWN: list[tuple[str, str]] = [
 ]
 
 
+#: (license, digest of the canonical form): full texts too long to be held here, as Debian's common-licenses has them.
+FULL: list[tuple[str, str]] = [
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+]
+
+
 def canonical(text: str) -> str:
     """The canonical form, for one text in Python; canonical_lines() is the same in Spark."""
     lines = []
@@ -74,12 +89,12 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), "\n"), one)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    rows = sorted({(digest(text), name) for name, text in known if canonical(text)})
+def known_digests(spark: SparkSession, known: list[tuple[str, str]], full: list[tuple[str, str]]) -> DataFrame:
+    rows = sorted({(digest(text), name) for name, text in known if canonical(text)} | {(d, name) for name, d in full})
     return spark.createDataFrame(rows, "_digest string, license string")
 
 
-def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text", full: list[tuple[str, str]] = FULL) -> DataFrame:
     """(id, unit, line_no, license) for every document or line that is, as a whole, a known text.
 
     unit is 'document' (line_no 0) or 'line' (from 1). A document of one line
@@ -92,7 +107,7 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col:
     whole = F.array_join(F.filter("_lines", lambda x: x != ""), " ")
     units = lines.select("_id", F.posexplode(F.concat(F.array(whole), F.col("_lines"))).alias("_no", "_unit")).where("_unit <> ''")
     keyed = units.select("_id", "_no", F.sha2("_unit", 256).alias("_digest"))
-    found = keyed.join(small(known_digests(docs.sparkSession, known)), "_digest")
+    found = keyed.join(small(known_digests(docs.sparkSession, known, full)), "_digest")
     return found.select(F.col("_id").alias(id_col), F.when(F.col("_no") == 0, "document").otherwise("line").alias("unit"), F.col("_no").cast("int").alias("line_no"), "license")
 
 
@@ -101,6 +116,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
+    """SQL that gives the same rows but for documents that are one of FULL, which it doesn't know."""
     line = "trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g'))"
     for a, b in SPELLINGS:
         line = f"replace({line}, '{a}', '{b}')"
