@@ -1,13 +1,14 @@
 """SimHash near-deduplication over a Gray-order hierarchical index.
 
 Texts become 128-bit SimHash fingerprints of their weighted words. Fingerprints
-within RADIUS bits of each other are found exactly: their bits are cut into
-SEGMENTS, in one of which two such fingerprints differ in at most
-RADIUS // SEGMENTS bits. For each segment the fingerprints, turned so that it
-leads, are sorted by Gray rank. Neighbours in that order share masked patterns,
-which go up into a tree: a leaf has what its fingerprints agree on, a node above
-what its children do. Tree is joined to tree from the top down: a pair of nodes
-goes, with all under it, once the bits settled in both differ too often.
+within RADIUS bits of each other are found exactly: their bits are cut, around a
+circle, into one more segment than RADIUS, so two such fingerprints agree in some
+segment, and from one such segment on they differ at most l - 1 times in the first
+l. By each segment the fingerprints, turned so that it leads, go to the block of
+its bits, and are sorted there by Gray rank. Neighbours in that order share masked
+patterns, which go up into a tree: a node has the first segments of all below it.
+Tree is joined to tree from the top down: a pair of nodes goes, with all under it,
+once the differences gathered in its segments are too many.
 Pairs within the radius are candidates: a pair is a link only if its texts share
 OVERLAP of their word shingles, as fingerprints of long texts come near by chance.
 """
@@ -21,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.kernels import U64, Chunk, RangeHash, chunks, fold, mix64, row_of, runs
+from quillspark.llm.kernels import U64, Chunk, RangeHash, chunks, fold, mix64, ranges, row_of, runs
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
 from quillspark.llm.runtime import small, written
 
 RADIUS = 23
-SEGMENTS = 8
 
 #: Words in a shingle, and the share of all shingles of two texts that a link must have in common.
 SHINGLE = 3
@@ -35,14 +35,14 @@ OVERLAP = 0.2
 #: Pairs of texts that are compared at a time.
 _TEXTS = 256
 
-#: Fingerprints in a block, about; a larger table is cut by the first bits of the Gray rank.
+#: Fingerprints in a part of a block, about.
 BLOCK = 1 << 18
 
 #: Edges that one task may take to form groups; beyond, stars are contracted round by round.
 EDGES = 1 << 23
 
-_LEAF = 4
-_PAIRS = 1 << 19
+#: Pairs that are looked at in one go, about.
+_PAIRS = 1 << 18
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -105,82 +105,95 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
     return out
 
 
+def cuts(radius: int) -> np.ndarray:
+    """Bounds of the segments, one more than the radius, into which the 128 bits are cut."""
+    return np.arange(radius + 2) * 128 // (radius + 1)
+
+
+def chain(radius: int, lead: int) -> list[tuple[int, int]]:
+    """(bits, most): how often the first bits of fingerprints turned to begin with segment `lead` may differ.
+
+    Two fingerprints differ on average in less than one bit a segment, so from some
+    segment on, around the circle, the first l segments differ at most l - 1 times
+    for every l: for that segment every step of the chain holds.
+    """
+    at = cuts(radius)
+    around = np.concatenate([at[lead:], at[1 : lead + 1] + 128]) - at[lead]
+    return [(int(bits), most) for most, bits in enumerate(around[1:])]
+
+
 class GrayIndex:
-    """Codes in Gray order, under levels of nodes with a pattern and a mask of the bits it settles."""
+    """Codes in Gray order, under levels of nodes: a node is all codes that share the bits of a prefix.
+
+    Codes with a common prefix are neighbours in Gray order. A level's nodes are
+    given by the places of their first codes, and one past the last.
+    """
 
-    def __init__(self, high: np.ndarray, low: np.ndarray) -> None:
+    def __init__(self, high: np.ndarray, low: np.ndarray, prefixes: list[int]) -> None:
         order = np.argsort(gray_rank(high), kind="stable")
         self.order, self.high, self.low = order, high[order], low[order]
-        ah = oh = self.high
-        al = ol = self.low
-        self.levels = []
-        while len(ah):
-            cut = np.arange(0, len(ah), _LEAF)
-            ah, al = np.bitwise_and.reduceat(ah, cut), np.bitwise_and.reduceat(al, cut)
-            oh, ol = np.bitwise_or.reduceat(oh, cut), np.bitwise_or.reduceat(ol, cut)
-            self.levels.append((ah, al, ~(ah ^ oh), ~(al ^ ol)))
-            if len(ah) <= 16:
-                break
+        n = len(high)
+        self.first = []
+        for bits in prefixes:
+            p = self.high >> U64(64 - bits)
+            self.first.append(np.concatenate([np.flatnonzero(np.concatenate([[n > 0], p[1:] != p[:-1]])), [n]]))
+        self.first.append(np.arange(n + 1))
+
+    def pattern(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The high bits of the first code of each node."""
+        return self.high[self.first[level][nodes]]
+
+    def children(self, level: int) -> np.ndarray:
+        """For each node of a level, and one past the last, the place of its first child on the next."""
+        return np.searchsorted(self.first[level + 1], self.first[level])
 
-    def size(self, level: int) -> int:
-        return len(self.levels[level][0]) if level >= 0 else len(self.high)
 
+def levels(radius: int, lead: int, most: int) -> list[tuple[int, int]]:
+    """The steps of the chain that are worth a level of nodes over so many codes."""
+    return [(bits, some) for bits, some in chain(radius, lead) if bits <= min(63, 6 + int(most).bit_length())]
 
-_I = np.repeat(np.arange(_LEAF), _LEAF)
-_J = np.tile(np.arange(_LEAF), _LEAF)
 
+def close_pairs(left: GrayIndex, right: GrayIndex, radius: int, lead: int, steps: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of codes within the radius for which the chain holds; of one index with itself, each pair once.
 
-def close_pairs(left: GrayIndex, right: GrayIndex, radius: int, lead_bits: int, lead_most: int, part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of codes within the radius whose leading bits differ at most lead_most times; of one index with itself, each pair once."""
-    if not left.levels or not right.levels:
-        return
+    A pair of nodes goes on to its children only while the differences gathered in the bits that both share are few enough.
+    """
     same = left is right
-    top = max(len(left.levels), len(right.levels)) - 1
-    for x in (left, right):  # trees of one height
-        while len(x.levels) <= top:
-            ah, al, mh, ml = x.levels[-1]
-            oh, ol = ah | ~mh, al | ~ml
-            cut = np.arange(0, len(ah), _LEAF)
-            ah, al = np.bitwise_and.reduceat(ah, cut), np.bitwise_and.reduceat(al, cut)
-            oh, ol = np.bitwise_or.reduceat(oh, cut), np.bitwise_or.reduceat(ol, cut)
-            x.levels.append((ah, al, ~(ah ^ oh), ~(al ^ ol)))
-    n, m = left.size(top), right.size(top)
-    a, b = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-    if same:
-        a, b = a[a <= b], b[a <= b]
-    shift = U64(64 - lead_bits)
-    stack = [(top, a[part::parts], b[part::parts])]
+    later = [(bits, most) for bits, most in chain(radius, lead) if bits < 64 and (bits, most) not in steps]
+    down = [(left.children(k), right.children(k)) for k in range(len(steps))]
+    n, m = (len(x.first[0]) - 1 for x in (left, right))
+    after = [np.arange(a + (not steps) if same else 0, m) for a in range(n)]
+    stack = [(0, np.full(len(b), a, dtype=np.int64), b) for a, b in enumerate(after)]
     while stack:
         level, a, b = stack.pop()
-        if len(a) > _PAIRS // 16:
-            half = len(a) // 2
-            stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
-            continue
-        lh, ll, lmh, lml = left.levels[level]
-        rh, rl, rmh, rml = right.levels[level]
-        dh = (lh[a] ^ rh[b]) & lmh[a] & rmh[b]
-        on = np.flatnonzero(np.bitwise_count(dh >> shift) <= lead_most)
-        a, b, dh = a[on], b[on], dh[on]
-        dl = (ll[a] ^ rl[b]) & lml[a] & rml[b]
-        on = np.bitwise_count(dh) + np.bitwise_count(dl) <= radius
-        a, b = a[on], b[on]
-        if not len(a):
+        if level < len(steps):
+            bits, most = steps[level]
+            apart = (left.pattern(level, a) ^ right.pattern(level, b)) >> U64(64 - bits)
+            on = np.bitwise_count(apart) <= most
+            a, b = a[on], b[on]
+            if not len(a):
+                continue
+            la, lb = down[level]
+            na, nb = la[a + 1] - la[a], lb[b + 1] - lb[b]
+            total = np.cumsum(na * nb)
+            for part in np.split(np.arange(len(a)), np.searchsorted(total, np.arange(_PAIRS, int(total[-1]), _PAIRS))):
+                if len(part):
+                    i = ranges(la[a[part]], na[part])
+                    wide = np.repeat(nb[part], na[part])
+                    j = ranges(np.repeat(lb[b[part]], na[part]), wide)
+                    i = np.repeat(i, wide)
+                    if same:
+                        on = i < j if level + 1 == len(steps) else i <= j
+                        i, j = i[on], j[on]
+                    stack.append((level + 1, i, j))
             continue
-        i = (a[:, None] * _LEAF + _I).ravel()
-        j = (b[:, None] * _LEAF + _J).ravel()
-        fits = (i < left.size(level - 1)) & (j < right.size(level - 1))
-        if same:
-            fits &= (i < j) if level == 0 else (i <= j)
-        i, j = i[fits], j[fits]
-        if level:
-            stack.append((level - 1, i, j))
-            continue
-        dh = left.high[i] ^ right.high[j]
-        on = np.flatnonzero(np.bitwise_count(dh >> shift) <= lead_most)
-        i, j, dh = i[on], j[on], dh[on]
-        on = np.bitwise_count(dh) + np.bitwise_count(left.low[i] ^ right.low[j]) <= radius
+        dh = left.high[a] ^ right.high[b]
+        for bits, most in later:
+            on = np.flatnonzero(np.bitwise_count(dh >> U64(64 - bits)) <= most)
+            a, b, dh = a[on], b[on], dh[on]
+        on = np.bitwise_count(dh) + np.bitwise_count(left.low[a] ^ right.low[b]) <= radius
         if on.any():
-            yield left.order[i[on]], right.order[j[on]]
+            yield left.order[a[on]], right.order[b[on]]
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,63 +247,87 @@ def _tree(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def close_edges(fps: DataFrame, count: int, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK, every: bool = False) -> DataFrame:
+def _block_bits(radius: int) -> list[int]:
+    """Bits of the leading segment by which fingerprints are dealt, for each segment."""
+    return np.minimum(np.diff(cuts(radius)), 8).tolist()
+
+
+def _led(high: np.ndarray, low: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each segment and the block of each fingerprint by it."""
+    for lead, (at, bits) in enumerate(zip(cuts(radius).tolist(), _block_bits(radius), strict=False)):
+        yield lead, (turned(high, low, at)[0] >> U64(64 - bits)).astype(np.int64)
+
+
+def _tiles(fps: DataFrame, radius: int, block: int) -> np.ndarray:
+    """How many parts each block of each segment is cut into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((radius + 1, 256), dtype=np.int64)
+        for b in batches:
+            high, low = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in range(2))
+            for lead, code in _led(high, low, radius):
+                total[lead] += np.bincount(code, minlength=256)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total.ravel()[on])], names=["place", "n"])
+
+    out = np.zeros((radius + 1) * 256, dtype=np.int64)
+    for place, n in fps.select("high", "low").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n")).collect():  # 256 rows a segment at most
+        out[place] = -(-n // block)
+    return out.reshape(radius + 1, 256)
+
+
+def close_edges(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, every: bool = False) -> DataFrame:
     """(a, b): pairs of ids of fingerprints (id, high, low) within the radius, enough to join all such pairs, transitively.
 
-    With every, all such pairs whose labels, in a fourth column, differ.
+    With every, all such pairs whose labels, in a fourth column, differ. Each
+    fingerprint goes to one block a segment, radius + 1 in all; a block of more than
+    `block` fingerprints is cut into parts, and pairs of parts are joined.
     """
-    width = 128 // segments
-    most = radius // segments
-    depth = min(width, max(0, int(np.ceil(np.log2(max(1, count) / block)))))
-    parts = 4 if depth == 0 else 1
+    tiles = _tiles(fps, radius, block)
+    at = cuts(radius).tolist()
+    columns = 4 if every else 3
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, high, low, label = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in range(4))
+            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in range(columns)], axis=1)
             tasks, sides, packed = [], [], []
-            for segment in range(segments):
-                h, _ = turned(high, low, segment * width)
-                place = (gray_rank(h) >> U64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)
-                prefix = (h >> U64(64 - depth)).astype(np.int64) if depth else place
-                for own in np.unique(place):
-                    rows = np.flatnonzero(place == own)
-                    data = np.stack([ids[rows], high[rows], low[rows], label[rows]], axis=1).tobytes()
-                    mine = int(prefix[rows[0]])
-                    for code in _near(mine, depth, most):
-                        for part in range(parts):
-                            x, y = min(mine, code), max(mine, code)
-                            tasks.append(((segment * parts + part) << depth | x) << depth | y)
-                            sides.append(int(mine != x))
-                            packed.append(data)
+            for lead, code in _led(rows[:, 1], rows[:, 2], radius):
+                cut = tiles[lead][code]
+                tile = (mix64(rows[:, 0]) % cut.astype(U64)).astype(np.int64)
+                order = np.lexsort((tile, code))
+                code, tile, cut = code[order], tile[order], cut[order]
+                first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (tile[1:] != tile[:-1])])) if len(code) else np.zeros(0, np.int64)
+                for lo, hi in zip(first.tolist(), np.append(first[1:], len(code)).tolist(), strict=True):
+                    data = rows[order[lo:hi]].tobytes()
+                    mine = int(tile[lo])
+                    for other in range(int(cut[lo])):
+                        x, y = min(mine, other), max(mine, other)
+                        tasks.append(((lead << 8 | int(code[lo])) << 24 | x) << 24 | y)
+                        sides.append(int(mine != x))
+                        packed.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(sides, pa.int32()), pa.array(packed, pa.binary())], names=["task", "side", "packed"])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         task = key[0].as_py()
-        segment, part = divmod(task >> (2 * depth), parts)
-        both = (task >> depth) & ((1 << depth) - 1) != task & ((1 << depth) - 1)
+        lead = task >> 56
+        both = (task >> 24) & 0xFFFFFF != task & 0xFFFFFF
         sides = table.column("side").to_numpy()
         cells = table.column("packed").to_pylist()
-        held = [np.concatenate([np.zeros((0, 4), U64), *(np.frombuffer(c, U64).reshape(-1, 4) for c, s in zip(cells, sides, strict=True) if s == side)]) for side in range(2 if both else 1)]
-        index = [GrayIndex(*turned(x[:, 1], x[:, 2], segment * width)) for x in held]
+        held = [np.concatenate([np.zeros((0, columns), U64), *(np.frombuffer(c, U64).reshape(-1, columns) for c, s in zip(cells, sides, strict=True) if s == side)]) for side in range(2 if both else 1)]
+        steps = levels(radius, lead, max(map(len, held)))
+        index = [GrayIndex(*turned(x[:, 1], x[:, 2], at[lead]), [bits for bits, _ in steps]) for x in held]
         base = len(held[0]) if both else 0
-        pairs = ((a, b + base) for a, b in close_pairs(index[0], index[-1], radius, width, most, part, parts))
-        ids, label = (np.concatenate([x[:, k] for x in held]).view(np.int64) for k in (0, 3))
+        pairs = ((a, b + base) for a, b in close_pairs(index[0], index[-1], radius, lead, steps))
+        ids = np.concatenate([x[:, 0] for x in held]).view(np.int64)
         if every:
+            label = np.concatenate([x[:, 3] for x in held])
             apart = [(a[on], b[on]) for a, b in pairs for on in [label[a] != label[b]]]
             a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*apart, strict=True) if apart else ((), ())))
         else:
             a, b = forest(len(ids), pairs)
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
-    return fps.select("id", "high", "low", "label" if every else F.lit(0).cast("long").alias("label")).mapInArrow(deal, "task long, side int, packed binary").groupBy("task").applyInArrow(join, "a long, b long")
-
-
-def _near(code: int, depth: int, most: int) -> list[int]:
-    """All codes of so many bits that differ from this one in at most `most`."""
-    out = {code}
-    for _ in range(most):
-        out |= {c ^ (1 << b) for c in out for b in range(depth)}
-    return sorted(out)
+    return fps.select("id", "high", "low", *["label"] * every).mapInArrow(deal, "task long, side int, packed binary").groupBy("task").applyInArrow(join, "a long, b long")
 
 
 def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
@@ -373,7 +410,7 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, tex
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, radius: int, segments: int, block: int, edges: int) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, radius: int, block: int, edges: int) -> DataFrame:
     """(a, b): pairs of text hashes within the radius and alike that join all such pairs, transitively.
 
     First a forest of candidates is checked. Where all of a tree's are alike, no
@@ -383,7 +420,7 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, radius
     fps = written(nodes.groupBy("high", "low").agg(F.min("text_hash").alias("id")), "distinct-fingerprints")
     same = nodes.join(fps.withColumnRenamed("id", "a"), ["high", "low"]).where("text_hash <> a").select("a", F.col("text_hash").alias("b"))
     order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = close_edges(fps, fps.count(), radius, segments, block).unionByName(same)
+    pairs = close_edges(fps, radius, block).unionByName(same)
     pairs = written(_spanning(written(pairs.select(*order).distinct(), "candidates"), edges), "tree")
     links = _alike(docs, nodes, pairs, id_col, text_col)
     apart = written(pairs.join(links, ["a", "b"], "left_anti"), "unlike")
@@ -394,7 +431,7 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, radius
     named = components(links, edges).withColumnRenamed("root", "label")
     rest = trees.join(doubtful, "root", "left_semi").select("id").join(named, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     rest = written(rest.join(nodes.select(F.col("text_hash").alias("id"), "high", "low"), "id"), "doubtful")
-    more = written(close_edges(rest, rest.count(), radius, segments, block, every=True).select(*order).distinct().join(apart, ["a", "b"], "left_anti"), "other-candidates")
+    more = written(close_edges(rest, radius, block, every=True).select(*order).distinct().join(apart, ["a", "b"], "left_anti"), "other-candidates")
     return links.unionByName(_alike(docs, nodes, more, id_col, text_col))
 
 
@@ -412,12 +449,12 @@ def _spanning(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(tree, "a long, b long")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, segments: int, block: int, edges: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, block: int, edges: int) -> tuple[DataFrame, DataFrame]:
     """The rows with fingerprints, and (text_hash, group_id, members) of every distinct text."""
     rows = written(_printed(docs, id_col, text_col), "fingerprints")
     known = rows.where("high IS NOT NULL")
     nodes = written(known.groupBy("high", "low", "text_hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct-texts")
-    links = _links(docs, nodes, id_col, text_col, radius, segments, block, edges)
+    links = _links(docs, nodes, id_col, text_col, radius, block, edges)
     ids = nodes.select("text_hash", "id")
     links = links.join(ids.withColumnsRenamed({"text_hash": "a", "id": "_a"}), "a").join(ids.withColumnsRenamed({"text_hash": "b", "id": "_b"}), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     named = written(components(links, edges), "components")
@@ -426,7 +463,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, segments:
     return rows, linked.join(small(sizes), "group_id", "left").select("text_hash", "group_id", F.coalesce("members", F.lit(1)).alias("members"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
     """For every row: id, group_id, members, is_duplicate.
 
     Texts with fingerprints within the radius that share OVERLAP of their word
@@ -437,7 +474,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that share an id are linked with each other. Ids are integers. Other columns
     are ignored. An empty table gives no rows.
     """
-    rows, table = _grouped(docs, id_col, text_col, radius, segments, block, edges)
+    rows, table = _grouped(docs, id_col, text_col, radius, block, edges)
     # texts that are not compared are in no group, whatever their hash
     found = rows.where("high IS NOT NULL").join(small(table), "text_hash").select("id", "group_id", "members")
     found = found.unionByName(rows.where("high IS NULL").select("id", F.lit(None).cast("long").alias("group_id"), F.lit(None).cast("long").alias("members")))
@@ -445,14 +482,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), group.alias("group_id"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce(F.col("id") != group, F.lit(False)).alias("is_duplicate"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
     """docs with one row left of each group of near_duplicates(): the one with the smallest id.
 
     All columns stay as they are, whatever their names. Rows that are not
     compared stay. Of repeated rows with a group's smallest id, one stays; a row of
     another text under that same id stays too.
     """
-    rows, table = _grouped(docs, id_col, text_col, radius, segments, block, edges)
+    rows, table = _grouped(docs, id_col, text_col, radius, block, edges)
     found = rows.where("high IS NOT NULL").join(small(table.where("members > 1")), "text_hash")
     gone = found.where("id <> group_id").select("id", "text_hash").distinct()
     columns = docs.columns
