@@ -63,3 +63,10 @@ def held(df: DataFrame) -> tuple[DataFrame, list | None]:
         return df, None
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return local_rows(df.sparkSession, [tuple(r) for r in rows], schema), rows
+
+
+def free_name(name: str, *taken: str) -> str:
+    """The name, with "_" after it for as long as it is one of those taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
