@@ -57,8 +57,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
-class RangeHash:
-    """Hashes of any range of a sequence, by one prefix sum modulo 2^64."""
+class ShortHash:
+    """Hashes of short ranges of a sequence, by one prefix sum modulo 2^64.
+
+    Sequences of 1,024 values and more can be made whose hashes collide whatever
+    the base; RangeHash is for those.
+    """
 
     def __init__(self, values: np.ndarray) -> None:
         n = len(values)
@@ -70,6 +74,77 @@ class RangeHash:
         return mix64((self._prefix[end] - self._prefix[start]) * self._down[start])
 
 
+#: The modulus of RangeHash.
+_P = U64((1 << 61) - 1)
+_LOW = U64((1 << 32) - 1)
+_LOW29 = U64((1 << 29) - 1)
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1."""
+    x = (x & _P) + (x >> U64(61))
+    x -= (x >= _P) * _P
+    return x
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers of which one is below it, the other below four times it."""
+    a0, a1, b0, b1 = a & _LOW, a >> U64(32), b & _LOW, b >> U64(32)
+    low, middle, high = a0 * b0, a1 * b0 + a0 * b1, a1 * b1
+    return _rest((high << U64(3)) + (middle >> U64(29)) + ((middle & _LOW29) << U64(32)) + (low & _P) + (low >> U64(61)))
+
+
+class _PrimePowers:
+    """Powers of a base and of its inverse modulo 2^61 - 1; those of the base also cut in two."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=U64)
+        self.low, self.high = self.up & _LOW, self.up >> U64(32)
+
+    def upto(self, n: int) -> None:
+        while len(self.up) < n:
+            size = len(self.up)
+            for name, base in (("up", _BASE % int(_P)), ("down", pow(_BASE % int(_P), -1, int(_P)))):
+                setattr(self, name, np.concatenate([getattr(self, name), mulmod(getattr(self, name), np.full(1, pow(base, size, int(_P)), dtype=U64))]))
+            self.low, self.high = self.up & _LOW, self.up >> U64(32)
+
+
+_PRIME_POWERS = _PrimePowers()
+
+
+class RangeHash:
+    """Hashes of any range of a sequence of bytes or of 64-bit values, by one prefix sum modulo the prime 2^61 - 1."""
+
+    #: Values whose parts are summed before the sums are reduced.
+    _SUMMED = 1 << 22
+
+    def __init__(self, values: np.ndarray) -> None:
+        n = len(values)
+        powers = _PRIME_POWERS
+        powers.upto(n + 1)
+        self._down = powers.down
+        self._low, self._high = np.zeros(n + 1, dtype=U64), np.zeros(n + 1, dtype=U64)
+        for a in range(0, n, self._SUMMED):
+            z = min(n, a + self._SUMMED)
+            if values.dtype == np.uint8:  # the parts of a product stay far below 2^64
+                v = values[a:z].astype(U64)
+                v += U64(1)
+                parts = v * powers.low[a:z], v * powers.high[a:z]
+            else:
+                product = mulmod(_rest(values[a:z]), powers.up[a:z])
+                parts = product & _LOW, product >> U64(32)
+            for total, part in zip((self._low, self._high), parts, strict=True):
+                np.cumsum(part, out=total[a + 1 : z + 1])
+                if a:
+                    total[a + 1 : z + 1] += _rest(total[a : a + 1])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low = self._low[end] + (_P << U64(2)) - self._low[start]
+        high = self._high[end] + (_P << U64(2)) - self._high[start]
+        apart = (low & _P) + (low >> U64(61)) + ((high & _LOW29) << U64(32)) + (high >> U64(29))
+        return mix64(mulmod(apart, self._down[start]))
+
+
 class Chunk:
     """Rows lo..hi of a batch: their bytes, and where each row starts and ends."""
 

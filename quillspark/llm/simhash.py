@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.kernels import U64, Chunk, RangeHash, chunks, fold, mix64, ranges, row_of, runs
+from quillspark.llm.kernels import U64, Chunk, RangeHash, ShortHash, chunks, fold, mix64, ranges, row_of, runs
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
 from quillspark.llm.runtime import small, written
 
@@ -55,13 +55,15 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, weight) of each distinct word of each row: folded letters and digits, weight 2 + log2 of its count, floored."""
     data = fold(c.data)
     start, end = runs(_WORD[data], c.bounds)
-    h = RangeHash(VALUES[data])(start, end)
+    h = ShortHash(VALUES[data])(start, end)
     row = row_of(start, c.bounds)
-    # sorted by row, then by hash: the row takes the upper bits of a key that sorts fast
-    bits = max(1, int(c.rows - 1).bit_length())
-    key = (row.astype(U64) << U64(64 - bits)) | (h >> U64(bits))
+    # sorted by row, then by hash: the place among the rows with words, below 2^20 in a chunk, takes the upper bits of a
+    # key that sorts fast; the rest of the hash is the same whatever the chunk
+    used = np.concatenate([np.zeros(1, np.int64), np.cumsum(row[1:] != row[:-1])]) if len(row) else row
+    key = (used.astype(U64) << U64(44)) | (h >> U64(20))
     key, count = np.unique(key, return_counts=True)
-    return (key >> U64(64 - bits)).astype(np.int64), mix64(key << U64(bits)), 2 + np.log2(count).astype(np.int64)
+    own = row[np.searchsorted(used, (key >> U64(44)).astype(np.int64))]
+    return own, mix64(key << U64(20)), 2 + np.log2(count).astype(np.int64)
 
 
 def fingerprints(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -378,7 +380,7 @@ def shingles(texts: pa.Array) -> np.ndarray:
     for c in chunks(texts):
         data = fold(c.data)
         start, end = runs(_WORD[data], c.bounds)
-        h = RangeHash(VALUES[data])(start, end)
+        h = RangeHash(data)(start, end)
         row = row_of(start, c.bounds)
         last = np.searchsorted(row, row, side="right")
         at = np.arange(len(row))

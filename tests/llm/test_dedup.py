@@ -153,6 +153,49 @@ def test_near_duplicates_are_those_of_brute_force(spark, block, edges):
         assert kept == sorted(want, key=repr)
 
 
+def test_fingerprints_are_the_same_in_any_chunk():
+    rng = random.Random(1)
+    texts = [prose(rng, rng.randrange(0, 60)) for _ in range(500)]
+
+    def prints(some, most):
+        return [cell for c in chunks(pa.array(some, pa.string()), most) for cell in zip(*(x.tolist() for x in simhash.fingerprints(c)), strict=True)]
+
+    assert prints(texts, 1 << 20) == prints(texts, 700) == [prints([t], 1 << 20)[0] for t in texts]
+
+
+@pytest.mark.parametrize(("radius", "flips"), [(23, 14), (7, 3), (3, 1), (0, 0)])
+def test_trees_find_every_pair_within_the_radius(radius, flips):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**64, (200, 2), dtype=np.uint64)
+    x = base[rng.integers(0, 200, 1500)]
+    for _ in range(flips):
+        x = x ^ ((rng.random(x.shape) < 0.6).astype(np.uint64) << rng.integers(0, 64, x.shape).astype(np.uint64))
+    x = np.unique(x, axis=0)
+    apart = np.bitwise_count(x[:, None] ^ x[None]).astype(int).sum(axis=2)
+    expected = {(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= radius), strict=True) if a < b}
+    found, crossed = set(), set()
+    for lead, code in simhash._led(x[:, 0], x[:, 1], radius):
+        for c in np.unique(code):
+            rows = np.flatnonzero(code == c)
+            steps = simhash.levels(radius, lead, len(rows))
+            at = int(simhash.cuts(radius)[lead])
+            whole, left, right = (simhash.GrayIndex(*simhash.turned(x[k, 0], x[k, 1], at), [b for b, _ in steps]) for k in (rows, rows[::2], rows[1::2]))
+            found |= {(min(p), max(p)) for a, b in simhash.close_pairs(whole, whole, radius, lead, steps) for p in zip(rows[a].tolist(), rows[b].tolist(), strict=True)}
+            crossed |= {(min(p), max(p)) for a, b in simhash.close_pairs(left, right, radius, lead, steps) for p in zip(rows[::2][a].tolist(), rows[1::2][b].tolist(), strict=True)}
+    assert found == expected and crossed <= expected and (not radius or expected)
+
+
+def test_each_fingerprint_goes_to_one_block_a_segment(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(h), int(m)) for i, (h, m) in enumerate(rng.integers(-(2**63), 2**63, (300, 2)))]
+    rows += [(1000 + i, h ^ 5, m) for i, h, m in rows[:40]]
+    fps = spark.createDataFrame(rows, "id long, high long, low long")
+    for block in (simhash.BLOCK, 3):
+        tiles = simhash._tiles(fps, simhash.RADIUS, block)
+        assert (tiles.max() == 1) is (block > 3)
+        assert {(min(r), max(r)) for r in simhash.close_edges(fps, block=block).collect()} == {(i, 1000 + i) for i in range(40)}
+
+
 def test_near_of_nothing(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(table(spark, [])).count() == 0
