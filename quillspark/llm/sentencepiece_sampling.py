@@ -14,6 +14,7 @@ from which inclusion scores follow.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.kernels import U64, Chunk, HashTable, RangeHash, chunks, mix64, ranges, row_of, to_list_array, uniform
+from quillspark.llm.kernels import U64, Chunk, HashTable, RangeHash, ShortHash, chunks, mix64, ranges, row_of, to_list_array, uniform
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
 
 #: The vocabulary file; any SentencePiece model may be named instead.
@@ -70,6 +71,10 @@ class Vocabulary:
         return Vocabulary(pieces, weight, byte_ids, model.unk_id(), model.encode("a", out_type=str)[0].startswith("▁"))
 
 
+    def digest(self) -> str:
+        return hashlib.sha256(b"\n".join([*self.pieces, self.weight.tobytes(), self.byte_ids.tobytes()])).hexdigest()
+
+
 class Lattices:
     """What is needed to build lattices: pieces and their prefixes by hash, and byte pairs that no border parts."""
 
@@ -88,7 +93,7 @@ class Lattices:
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum([len(w) for w in words])
         starts = np.concatenate([[0], ends[:-1]])
-        self.table = HashTable(RangeHash(VALUES[data])(starts, ends))
+        self.table = HashTable(ShortHash(VALUES[data])(starts, ends))
         self.piece = np.array([known[w] for w in words], dtype=np.int32)
         self.weight = v.weight
         self.short, self.pair = np.full(256, -1, dtype=np.int32), np.full(65536, -1, dtype=np.int32)
@@ -111,6 +116,15 @@ class Lattices:
         self.flat_size = np.array([len(p) for p in flat])
 
 
+#: Odd, so that a place in a row changes the seed of its draw in every bit.
+STEP = U64(0x9E3779B97F4A7C15)
+
+
+def unit_interval(x: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each seed."""
+    return ((mix64(x) >> U64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+
+
 _CHAR = np.ones(256, dtype=np.int64)
 _CHAR[0xC0:0xE0] = 2
 _CHAR[0xE0:0xF0] = 3
@@ -118,27 +132,59 @@ _CHAR[0xF0:] = 4
 
 
 class Store:
-    """Lattices of the distinct units met so far in a task; begun anew when it grows past its bound."""
+    """Lattices of the distinct units met so far; past its bound it keeps those that were met most often.
+
+    What is drawn doesn't depend on what a store holds, so one serves all tasks of a worker.
+    """
+
+    #: Edges, of 28 bytes each.
+    BOUND = 2 << 20
 
-    BOUND = 1 << 20
+    _KINDS = {"first_state": np.int32, "end_state": np.int32, "met": np.int32, "edge0": np.int32, "degree": np.int32, "origin": np.int32, "goal": np.int32, "piece": np.int32, "log_p": np.float64, "cumulative": np.float64}
 
     def __init__(self, lattices: Lattices) -> None:
         self.lattices = lattices
-        self._clear()
-
-    def _clear(self) -> None:
         self.keys = np.zeros(0, dtype=U64)
         self.places = np.zeros(0, dtype=np.int32)
-        none = np.zeros(0, dtype=np.int32)
-        self.first_state = self.end_state = self.edge0 = self.degree = none
-        self.origin = self.goal = self.piece = none
-        self.log_p = np.zeros(0)
-        self.cumulative = np.zeros(0, dtype=np.float32)
+        self._room = {name: np.zeros(0, dtype=kind) for name, kind in self._KINDS.items()}
+        for name, x in self._room.items():
+            setattr(self, name, x)
+
+    def _append(self, **new: np.ndarray) -> None:
+        for name, x in new.items():
+            n = len(getattr(self, name))
+            room = self._room[name]
+            if n + len(x) > len(room):
+                room = np.empty((n + len(x)) * 5 // 4, dtype=room.dtype)
+                room[:n] = getattr(self, name)
+                self._room[name] = room
+            room[n : n + len(x)] = x
+            setattr(self, name, room[: n + len(x)])
+
+    def _forget(self) -> None:
+        """Half the bound at most stays: the units met most often."""
+        states = self.end_state - self.first_state + 1
+        edges = np.add.reduceat(self.degree, self.first_state)
+        often = np.argsort(-self.met, kind="stable")
+        keep = np.sort(often[np.cumsum(edges[often]) <= self.BOUND // 2])
+        s = ranges(self.first_state[keep], states[keep])
+        e = ranges(self.edge0[self.first_state[keep]], edges[keep])
+        new_first = np.cumsum(states[keep]) - states[keep]
+        by_edge = np.repeat(new_first - self.first_state[keep], edges[keep])
+        held = {"first_state": new_first, "end_state": new_first + states[keep] - 1, "met": self.met[keep] // 2, "edge0": np.cumsum(self.degree[s]) - self.degree[s], "degree": self.degree[s]}
+        held |= {"origin": self.origin[e] + by_edge, "goal": self.goal[e] + by_edge, "piece": self.piece[e], "log_p": self.log_p[e], "cumulative": self.cumulative[e]}
+        place = np.full(len(states), -1, dtype=np.int32)
+        place[keep] = np.arange(len(keep))
+        on = place[self.places] >= 0
+        self.keys, self.places = self.keys[on], place[self.places[on]]
+        for name, x in held.items():
+            setattr(self, name, self._room[name][:0])
+            self._append(**{name: x})
 
     def units(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The place of each of these distinct units, whose hashes are sorted; new ones are added."""
         if len(self.piece) > self.BOUND:
-            self._clear()
+            self._forget()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
         if len(self.keys):
@@ -151,6 +197,7 @@ class Store:
             self._add(data, start[new], end[new])
             self.keys = np.insert(self.keys, at[new], keys[new])
             self.places = np.insert(self.places, at[new], out[new].astype(np.int32))
+        self.met[out] += 1
         return out
 
     def _add(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
@@ -167,7 +214,7 @@ class Store:
         head = np.flatnonzero((data & 0xC0) != 0x80)
         left = last[head] - head
         states = n + units
-        h = RangeHash(VALUES[data])
+        h = ShortHash(VALUES[data])
         char = np.minimum(_CHAR[data[head]], left)
         single = np.zeros(len(head), dtype=bool)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -200,7 +247,7 @@ class Store:
         edges = int(degree.sum())
         origin, goal, pieces = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.int32)
         weight = np.empty(edges)
-        for s, length, piece in found:
+        for s, length, piece in reversed(found):  # long pieces first, as most draws end there
             at = fill[s]
             fill[s] += 1
             origin[at], goal[at], pieces[at] = s, s + length, piece
@@ -222,16 +269,28 @@ class Store:
             beta[s] = top + np.log(total)
             log_p[e] = v - np.repeat(beta[s], k)
         np.minimum(log_p, 0.0, out=log_p)
-        p = np.exp(log_p)
-        running = np.cumsum(p)
-        below = np.repeat((running - p)[edge0[degree > 0]], degree[degree > 0])
-        cumulative = (running - below).astype(np.float32)
+        # running sums state by state, so that a state's sums are the same in any company
+        cumulative = np.exp(log_p)
+        busy = np.flatnonzero(degree > 1)
+        step = edge0[busy].astype(np.int64)
+        for k in range(1, int(degree.max(initial=0))):
+            on = degree[busy] > k
+            busy, step = busy[on], step[on]
+            cumulative[step + k] += cumulative[step + k - 1]
         cumulative[(edge0 + degree - 1)[degree > 0]] = 2.0
         ns, ne = len(self.edge0), len(self.piece)
-        for name, new in (("first_state", first_state + ns), ("end_state", end_state + ns), ("edge0", edge0 + ne), ("degree", degree), ("origin", origin + ns), ("goal", goal + ns), ("piece", pieces)):
-            setattr(self, name, np.concatenate([getattr(self, name), new.astype(np.int32)]))
-        self.log_p = np.concatenate([self.log_p, log_p])
-        self.cumulative = np.concatenate([self.cumulative, cumulative])
+        self._append(first_state=first_state + ns, end_state=end_state + ns, met=np.zeros(units, np.int32), edge0=edge0 + ne, degree=degree, origin=origin + ns, goal=goal + ns, piece=pieces, log_p=log_p, cumulative=cumulative)
+
+
+_STORES: dict[str, Store] = {}
+
+
+def _store(key: str, vocabulary: Vocabulary) -> Store:
+    """A worker's store for a vocabulary that was broadcast, kept from task to task."""
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = Store(Lattices(vocabulary))
+    return _STORES[key]
 
 
 class Batch:
@@ -255,7 +314,7 @@ class Batch:
         self.row = row_of(self.start, self.bounds)
         self.offset = self.start - self.bounds[self.row]  # in its row
         end = np.append(self.start[1:], len(d))[: len(self.start)]
-        h = RangeHash(VALUES[d])(self.start, end)
+        h = RangeHash(d)(self.start, end)
         keys, first, unit = np.unique(h, return_index=True, return_inverse=True)
         self.unit = store.units(d, self.start[first], end[first], keys)[unit]
         for name in ("first_state", "end_state", "edge0", "degree", "origin", "goal", "piece", "log_p", "cumulative"):
@@ -265,35 +324,36 @@ class Batch:
     def draw(self, who: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path through each of the units at places `who`: edges in order, their number, log-probability."""
         unit = self.unit[who]
-        state = self.first_state[unit]
+        state = self.first_state[unit].astype(np.int64)
         end = self.end_state[unit]
-        shift = self.offset[who] - state
-        seeds = seed[self.row[who]] ^ U64(stream * 0x9E3779B97F4A7C15 % 2**64)
+        base = mix64(seed ^ U64(stream))[self.row[who]]
+        base += (self.offset[who] - state).view(U64) * STEP
+        live = np.flatnonzero(state < end)
+        state, end, base = state[live], end[live], base[live]
         count = np.zeros(len(who), dtype=np.int64)
-        log_p = np.zeros(len(who))
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        live = np.flatnonzero(state < end)
         while len(live):
-            s = state[live]
-            e = self.edge0[s]
-            some = np.flatnonzero(self.degree[s] > 1)
-            if len(some):
-                u = uniform(seeds[live[some]], shift[live[some]] + s[some])
-                pick = e[some]
-                todo = np.flatnonzero(u > self.cumulative[pick])
-                while len(todo):
-                    pick[todo] += 1
-                    todo = todo[u[todo] > self.cumulative[pick[todo]]]
-                e[some] = pick
+            e = self.edge0[state].astype(np.int64)
+            some = np.flatnonzero(self.degree[state] > 1)
+            u = unit_interval(base[some] + state[some].view(U64) * STEP)
+            pick = e[some]
+            todo = np.flatnonzero(u > self.cumulative[pick])
+            while len(todo):
+                e[some[todo]] += 1
+                todo = todo[u[todo] > self.cumulative[e[some[todo]]]]
             steps.append((live, e))
-            log_p[live] += self.log_p[e]
             count[live] += 1
-            state[live] = self.goal[e]
-            live = live[state[live] < end[live]]
+            state = self.goal[e].astype(np.int64)
+            on = np.flatnonzero(state < end)
+            live, state, end, base = live[on], state[on], end[on], base[on]
         begin = np.cumsum(count) - count
         out = np.empty(int(count.sum()), dtype=np.int64)
         for k, (at, e) in enumerate(steps):
             out[begin[at] + k] = e
+        log_p = np.zeros(len(who))
+        some = np.flatnonzero(count)
+        if len(some):
+            log_p[some] = np.add.reduceat(self.log_p[out], begin[some])
         return out, count, log_p
 
     def draw_other(self, who: int, taken: list[list[int]], seed: int, stream: int) -> tuple[list[int], float, float]:
@@ -301,7 +361,7 @@ class Batch:
         unit = self.unit[who]
         state, end = int(self.first_state[unit]), int(self.end_state[unit])
         shift = int(self.offset[who]) - state
-        key = seed ^ (stream * 0x9E3779B97F4A7C15 % 2**64)
+        key = _mix(seed ^ stream)
         ways = [[float(self.log_p[e]) for e in x] for x in taken]
         held = [(x, w, math.fsum(w)) for x, w in zip(taken, ways, strict=True)]
         untaken = 1.0 - math.fsum(math.exp(rest) for _, _, rest in held)
@@ -323,7 +383,7 @@ class Batch:
                 free = [0.0 if j in closed else max(f, 0.0) for j, f in enumerate(free)]
                 if not sum(free) > 0:
                     free = [0.0 if j in closed else f for j, f in enumerate(whole)]
-            u = _uniform(key, shift + state) * sum(free)
+            u = _unit_interval(key + (shift + state) * int(STEP)) * sum(free)
             j = next(j for j in reversed(range(k)) if free[j] > 0)
             for i, f in enumerate(free):
                 u -= f
@@ -367,9 +427,9 @@ def _mix(x: int) -> int:
     return z ^ (z >> 31)
 
 
-def _uniform(seed: int, counter: int) -> float:
-    """uniform for one number."""
-    return ((_mix(seed ^ _mix(counter)) >> 11) + 0.5) / (1 << 53)
+def _unit_interval(x: int) -> float:
+    """unit_interval for one number."""
+    return ((_mix(x & (2**64 - 1)) >> 11) + 0.5) / (1 << 53)
 
 
 def _truncated(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -415,7 +475,7 @@ def sample(b: Batch, rows: int, seed: np.ndarray, k: int) -> Sampled:
         with np.errstate(divide="ignore"):
             return np.where(x > -1e-12, -np.inf, np.log(-np.expm1(np.minimum(x, 0.0))))
 
-    noise = uniform(seed[b.row] ^ U64(7), counter + (1 << 41))
+    noise = unit_interval(mix64(own ^ U64(7))[nth] + counter.view(U64) * STEP)
     fringe = [_truncated(before(log_p) + spare(log_p), key[0][nth], noise)]
     fringe[0][~np.isfinite(fringe[0])] = -np.inf
     taken: dict[tuple[int, int], list[list[int]]] = {}
@@ -469,7 +529,7 @@ def sample(b: Batch, rows: int, seed: np.ndarray, k: int) -> Sampled:
         lead = before(log_p)
         open_ = np.flatnonzero(np.isfinite(branched))
         moved = at[go]
-        noise = uniform(seed[b.row] ^ U64(7 + rank), counter + (1 << 41))
+        noise = unit_interval(mix64(own ^ U64(7 + rank))[nth] + counter.view(U64) * STEP)
         for u in moved.tolist():
             fringe[int(parent[nth[u]])][u] = -np.inf
         again = _truncated(lead[open_] + branched[open_], top[nth[open_]], noise[open_])
@@ -528,13 +588,13 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
 
     vocabulary = Vocabulary.load(model, sharpness)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the model's file
+    key = vocabulary.digest()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute
 
-        lattices = Lattices(shared.value)
-        store = Store(lattices)
+        store = _store(key, shared.value)
         for batch in batches:
             texts = batch.column(2)
             plain = _plain(texts)
@@ -543,7 +603,7 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
             for c in chunks(plain, _CHUNK):
                 b = Batch(c, store)
                 s = sample(b, c.rows, seeds[c.lo : c.hi], samples)
-                data, at = decode_rows(s.ids, s.count, lattices)
+                data, at = decode_rows(s.ids, s.count, store.lattices)
                 good = np.diff(at) == np.diff(b.bounds)[s.row]
                 if good.all():
                     expected = b.data[ranges(b.bounds[s.row], np.diff(b.bounds)[s.row])]
@@ -578,9 +638,10 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
 def decoder(model: str = MODEL) -> Column:
     """An Arrow function from arrays of ids to texts; ids outside the vocabulary and control pieces give nothing, null gives null."""
     vocabulary = Vocabulary.load(model)
+    key = vocabulary.digest()
 
     def run(ids: pa.Array) -> pa.Array:
-        lattices = Lattices(vocabulary)
+        lattices = _store(key, vocabulary).lattices
         out = []
         for x in ids.to_pylist():
             if x is None:
