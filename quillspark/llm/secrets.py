@@ -1,8 +1,9 @@
 """Secret scans over a trigram inverted index.
 
 Each rule's regex is turned into a Boolean query of trigrams that any match must
-hold. An index of the trigrams in question, segment by segment, gives postings;
-their intersections and unions leave candidate texts, on which the regex is run.
+hold. An index of the trigrams in question, built for each segment of about 1 MB of
+texts and dropped with it, gives postings; their intersections and unions leave
+candidate texts, on which the regex is run.
 A rule without mandatory trigrams is run on every text.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.kernels import _FOLD, Chunk, chunks
+from quillspark.llm.runtime import free_name
 
 #: (name, regex): of the syntax that Python's re and RE2 read alike.
 RULES: list[tuple[str, str]] = [
@@ -220,7 +222,7 @@ def candidates(query: Query, index: dict[int, np.ndarray], rows: int) -> np.ndar
 
 def find_secrets(texts: pa.Array, rules: list[tuple[str, str]]) -> Iterator[tuple[int, str, int, str]]:
     """(row, rule, number from 1, match) of all matches."""
-    compiled = [(name, re.compile(pattern.encode()), trigram_query(pattern)) for name, pattern in rules]
+    compiled = [(name, re.compile(pattern, re.ASCII if pattern.isascii() else 0), trigram_query(pattern)) for name, pattern in rules]
     table = np.zeros(1 << 24, dtype=bool)
     for _, _, query in compiled:
         for t in needed(query):
@@ -229,17 +231,20 @@ def find_secrets(texts: pa.Array, rules: list[tuple[str, str]]) -> Iterator[tupl
         index = postings(c, table)
         for name, pattern, query in compiled:
             for row in candidates(query, index, c.rows).tolist():
-                text = c.data[c.bounds[row] : c.bounds[row + 1]].tobytes()
+                text = c.data[c.bounds[row] : c.bounds[row + 1]].tobytes().decode("utf-8", "replace")
                 for k, m in enumerate(pattern.finditer(text), 1):
-                    yield c.lo + row, name, k, m.group().decode()
+                    yield c.lo + row, name, k, m.group()
 
 
 def scan_secrets(docs: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rule, match_no, secret) for every match of every rule, numbered from 1 in a text.
 
-    Matches of one rule don't overlap; those of different rules may. Null and
+    Matches of one rule don't overlap; those of different rules may. Rules are
+    matched on characters; in a rule of ASCII characters alone, classes, word borders
+    and case are those of ASCII, else those of Unicode. Null and
     empty texts have none. Repeated rows are reported again, null ids as null.
-    Other columns are ignored. An empty table or no rules give no rows.
+    An id column with the name of a result's gets "_" after it. Other columns are
+    ignored. An empty table or no rules give no rows.
     """
     kind = docs.schema[id_col].dataType
 
@@ -252,7 +257,7 @@ def scan_secrets(docs: DataFrame, rules: list[tuple[str, str]] = RULES, id_col:
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = texts.mapInArrow(run, f"_id {kind.simpleString()}, rule string, match_no int, secret string")
-    return found.select(F.col("_id").alias(id_col), "rule", "match_no", "secret")
+    return found.select(F.col("_id").alias(free_name(id_col, "rule", "match_no", "secret")), "rule", "match_no", "secret")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
