@@ -83,15 +83,20 @@ def cqf_read(data: bytes, top: int, top_bits: int) -> tuple[np.ndarray, np.ndarr
     return prefix | (quotients << U64(r)) | remainder[slot], count[slot]
 
 
-def cqf_merge(filters: list[bytes], top: int, top_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and summed counts of several filters of one segment."""
-    parts = [cqf_read(f, top, top_bits) for f in filters]
-    keys = np.concatenate([p[0] for p in parts])
-    counts = np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+def _both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of remainders, with their quotients before them, as one; counts of equal ones are added."""
+    at = np.searchsorted(a[0], b[0])
+    keys, counts = np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def cqf_merge(filters: list[bytes], top: int, top_bits: int) -> bytes:
+    """One filter of several of a segment, by merging their sorted runs two by two."""
+    runs = [cqf_read(f, top, top_bits) for f in filters]
+    while len(runs) > 1:
+        runs = [_both(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+    return cqf_build(*runs[0], top_bits)
 
 
 def _segments(top_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -111,7 +116,8 @@ def _segments(top_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def _merged(top_bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts = cqf_merge(table.column("filter").to_pylist(), key[0].as_py(), top_bits)
+        top = key[0].as_py()
+        keys, counts = cqf_read(cqf_merge(table.column("filter").to_pylist(), top, top_bits), top, top_bits)
         twice = counts > 1
         return pa.table({"_fp": pa.array(keys[twice].view(np.int64)), "_count": pa.array(counts[twice])})
 
