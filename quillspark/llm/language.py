@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.kernels import Chunk, chunks, fold
+from quillspark.llm.runtime import free_name
 
 FEATURES = 1 << 13
 
-#: Labelled rows a language, about, on which the classifiers are fitted.
+#: Labelled rows a language, about, on which the classifiers are fitted; rows in all; and the bytes of the longest text that is taken for it.
 SAMPLE_PER_LANGUAGE = 400
+SAMPLE_ROWS = 1 << 13
+SAMPLE_TEXT = 1 << 16
 
 #: Least lead of the best codeword's loss over the next for a clear answer.
 MARGIN = 0.05
@@ -161,15 +164,19 @@ def verdict(model: Model, margin: float = MARGIN) -> Callable[..., Column]:
 
 
 def labelled_sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """About per_language texts of each language: those rows whose id hashes lowest, in a fixed order."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col)).count().collect()}  # one row a language
-    key = F.xxhash64(F.col(id_col)).bitwiseAND(2**62 - 1)
+    """About per_language texts of each language, fewer if SAMPLE_ROWS don't hold as many: those rows whose id and text hash lowest, in a fixed order.
+
+    Texts of more than SAMPLE_TEXT bytes are not taken, equal rows once.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.octet_length(F.col(text_col)).between(1, SAMPLE_TEXT))
+    key = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(2**62 - 1)
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col)).agg(F.approx_count_distinct(key)).collect()}  # one row a language
+    per_language = max(1, min(per_language, SAMPLE_ROWS // max(1, len(counts))))
     rows = []
     if counts:
         limit = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, int(min(1.0, 2 * per_language / n) * (2**62 - 1)))])
         low = labelled.select(key.alias("_key"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where(F.col("_key") <= limit[F.col("_lang")])
-        rows = sorted(low.collect())  # about two per_language rows a language
+        rows = sorted(low.dropDuplicates(["_lang", "_key"]).collect())  # about two per_language rows a language
     taken: dict[str, int] = {}
     texts, labels = [], []
     for _, lang, text in rows:
@@ -193,12 +200,13 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
     ambiguous means a lead under margin. A text without letters, empty or null,
     has a null language, lead 0 and is ambiguous, as is any text when there is
     no model. Of codewords with equal loss the first by name is taken, with lead
-    0. Repeated rows are reported again, null ids as null. Other columns are
-    ignored. An empty table gives no rows.
+    0. Repeated rows are reported again, null ids as null. An id column with the
+    name of a result's gets "_" after it. Other columns are ignored. An empty table
+    gives no rows.
     """
     found = verdict(model, margin)(F.col(text_col)) if model else F.lit(None).cast(RESULT)
     rows = docs.select(F.col(id_col).alias("_id"), found.alias("_found"))
-    return rows.select(F.col("_id").alias(id_col), F.col("_found.language").alias("language"), F.coalesce("_found.lead", F.lit(0.0)).alias("lead"), F.coalesce("_found.ambiguous", F.lit(True)).alias("ambiguous"))
+    return rows.select(F.col("_id").alias(free_name(id_col, "language", "lead", "ambiguous")), F.col("_found.language").alias("language"), F.coalesce("_found.lead", F.lit(0.0)).alias("lead"), F.coalesce("_found.ambiguous", F.lit(True)).alias("ambiguous"))
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -76,7 +76,7 @@ def test_quotient_filters_merge_without_loss():
         for (k, c), f in zip(parts, filters, strict=True):
             got = exact_dedup.cqf_read(f, 0, top_bits)
             assert got[0].tolist() == k.tolist() and got[1].tolist() == c.tolist()
-        keys, counts = exact_dedup.cqf_merge(filters, 0, top_bits)
+        keys, counts = exact_dedup.cqf_read(exact_dedup.cqf_merge(filters, 0, top_bits), 0, top_bits)
         assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == dict(total)
 
 

@@ -70,6 +70,13 @@ def test_every_match_fulfils_its_trigram_query(pattern):
     assert {k for k, s in enumerate(samples) if re.search(pattern, s)} <= rows
 
 
+def test_rules_are_matched_on_characters(spark):
+    rows = [(1, "key=éé"), (2, "key=ééé and key=日本語"), (3, "É SECRET"), (4, "é secret é Secret"), (5, "клkey=abc")]
+    rules = [("three", r"\bkey=.{3}"), ("accent", r"(?i)é secret")]
+    found = {tuple(r) for r in secrets.scan_secrets(table(spark, rows), rules).collect()}
+    assert found == {(2, "three", 1, "key=ééé"), (2, "three", 2, "key=日本語"), (3, "accent", 1, "É SECRET"), (4, "accent", 1, "é secret"), (4, "accent", 2, "é Secret"), (5, "three", 1, "key=abc")}
+
+
 # licences ---
 
 
@@ -102,6 +109,22 @@ def test_licence_lines_are_found(spark):
     assert ("line", 2, name) in found and not any(u == "document" for u, _, _ in found)
 
 
+def test_wrapped_texts_and_other_scripts(spark):
+    isc = next(t for n, t in licenses.KNOWN if n == "ISC")
+    wrapped = isc.replace("provided that the above copyright", "provided that the above\ncopyright")
+    assert "\ncopyright notice and this" in wrapped
+    notice = "Licensed under the\nMIT License."
+    rows = [
+        (1, f"Copyright 2020 Some One\n\n{wrapped}"), (2, "Это не лицензия: Licensed under the MIT License."), (3, f"# header\n\n{notice}\n\ncode = 1"), (4, "(c) You must retain\nmore"), (5, notice.replace("\n", "\n//\n")),
+        (6, "copyright holders and others\nLicensed under the MIT License."), (7, "\n".join(f"// {x}" for x in wrapped.split("\n"))),
+    ]
+    found = {(r.doc_id, r.unit, r.line_no, r.license) for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert found == {(1, "document", 0, "ISC"), (1, "paragraph", 1, "ISC"), (3, "paragraph", 2, "MIT"), (5, "document", 0, "MIT"), (6, "line", 2, "MIT"), (7, "document", 0, "ISC"), (7, "paragraph", 1, "ISC")}
+    assert licenses.canonical("(c) You must\nCopyright 2021 A\ncopyright license to copy") == "c you must copyright license to copy"
+    clashing = licenses.scan_licenses(table(spark, rows).drop("rule").withColumnRenamed("doc_id", "unit"), id_col="unit")
+    assert clashing.columns == ["unit_", "unit", "line_no", "license"] and clashing.count() == len(found)
+
+
 # sharding ---
 
 
@@ -143,7 +166,7 @@ def test_adding_a_shard_moves_few_keys(spark):
     df = table(spark, [(i, "t") for i in range(3000)])
     at = {n: {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=n, slack=0.3).collect()} for n in (10, 11)}
     moved = sum(at[10][k] != at[11][k] for k in at[10])
-    assert moved < 0.3 * 3000
+    assert moved < 0.15 * 3000
     assert max(Counter(at[11].values()).values()) <= math.ceil(1.3 * 3000 / 11)
 
 

@@ -22,7 +22,7 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, lang, "x", 1, "y", "z", "w") for i, t, lang in rows], SCHEMA)
 
 
-# prediction by partial matching ---------------------------------------------------------------------------------------
+# prediction by partial matching ---
 
 
 def brute_bits(texts, order):
@@ -96,7 +96,7 @@ def test_odd_texts_cost_more(spark):
     assert scores[30] > 2 * max(scores[i] for i in range(30))
 
 
-# language -------------------------------------------------------------------------------------------------------------
+# language ---
 
 
 def test_codewords_lie_far_apart():
@@ -146,6 +146,50 @@ def test_language_of_odd_rows(spark):
     assert {r.language for r in language.identify_languages(df.where("doc_id < 20"), one).collect()} == {"en"}
 
 
+def brute_buckets(text):
+    """Every letter of a text with its neighbours, byte by byte; anything else is one space."""
+    folded = "".join(ch.lower() if ch.isascii() or "À" <= ch <= "Þ" else ch for ch in text or "").encode()
+    plain = [32]
+    for b in folded:
+        if 97 <= b <= 122 or b >= 128:
+            plain.append(b)
+        elif plain[-1] != 32:
+            plain.append(32)
+    plain.append(32)
+    return [(((plain[k - 1] | plain[k] << 8 | plain[k + 1] << 16) * 0x9E3779B1) % 2**32) >> 19 for k in range(1, len(plain) - 1) if plain[k] != 32]
+
+
+def test_features_votes_and_verdicts_are_those_of_brute_force():
+    rng = random.Random(3)
+    texts = ["", None, "A.", "é", "Ünd ÑO 12 x", "one  two\n\nthree-four", "日本 語", "x" * 3000, *("".join(rng.choice("abcXYZéÑß .,12\n") for _ in range(rng.randrange(80))) for _ in range(60))]
+    model = language.Model(list("abcd"), language.codewords(4), np.random.default_rng(1).normal(size=(language.FEATURES, 7)).astype(np.float32), np.arange(7) / 7, np.full(7, 1 / 7, np.float32))
+    x = language.features([t or "" for t in texts])
+    for most in (50, 1 << 20):
+        at = 0
+        for c in chunks(pa.array(texts, pa.string()), most):
+            votes, seen = language.score(model, c)
+            best, lead, doubt = language.decode(model, votes, seen, 0.05)
+            for k in range(c.rows):
+                own = brute_buckets(texts[at])
+                assert seen[k] == len(own) and {b: round(float(v) * len(own)) for b, v in enumerate(x[at]) if v} == Counter(own)
+                vote = [sum(float(model.weight[b, bit]) for b in own) / max(1, len(own)) + bit / 7 for bit in range(7)]
+                assert np.allclose(votes[k], vote)
+                loss = [sum(math.log1p(math.exp(-v * w)) / 7 for v, w in zip(vote, word, strict=True)) for word in model.code.tolist()]
+                order = sorted(range(4), key=lambda i: loss[i])
+                assert best[k] == (order[0] if own else -1) and doubt[k] == (not own or lead[k] < 0.05)
+                assert math.isclose(lead[k], loss[order[1]] - loss[order[0]] if own else 0.0, abs_tol=1e-6)
+                at += 1
+        assert at == len(texts)
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    rows = [(None, f"text number {k} of many", "en") for k in range(300)] + [(7, "the very same", "de")] * 300 + [(8, "z" * 70_000, "fr")]
+    texts, labels = language.labelled_sample(table(spark, rows), 20, "doc_id", "text", "lang")
+    assert Counter(labels).get("fr") is None and Counter(labels)["de"] == 1 and 5 <= Counter(labels)["en"] <= 20 and len(set(texts)) == len(texts)
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 6)
+    assert max(Counter(language.labelled_sample(table(spark, rows), 20, "doc_id", "text", "lang")[1]).values()) <= 3
+
+
 def test_rows_are_framed_by_spaces():
     def trigrams(text):
         framed = " " + re.sub("[^a-z]+", " ", text.lower()) + " "
@@ -167,7 +211,7 @@ def test_what_is_ambiguous_is_not_kept(spark):
     assert sorted(r.doc_id for r in language.keep_identified(df, even, margin=0.0).collect()) == [1, 2]
 
 
-# sampled segmentations ------------------------------------------------------------------------------------------------
+# sampled segmentations ---
 
 
 @pytest.fixture(scope="module")
