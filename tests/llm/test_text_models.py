@@ -25,27 +25,25 @@ def table(spark, rows):
 # prediction by partial matching ---
 
 
-def brute_bits(texts, order):
-    """Code every byte of every text anew: counts of all occurrences but this one, escapes, exclusion."""
+def brute_bits(fitted, texts, order, least=1):
+    """Code every byte of the texts by what follows each context in the fitted ones: escapes, exclusion; what is seen less often than `least` after two bytes and more is not seen."""
     follow = defaultdict(Counter)
-    cells = []
-    for t in texts:
+
+    def cells(t):
         data = bytes(order) + (t or "").encode()
-        own = []
-        for p in range(order, len(data)):
-            own.append((data[p - order : p], data[p]))
+        return [(data[p - order : p], data[p]) for p in range(order, len(data))]
+
+    for t in fitted:
+        for context, byte in cells(t):
             for k in range(order + 1):
-                follow[data[p - k : p]][data[p]] += 1
-        cells.append(own)
+                follow[context[order - k :]][byte] += 1
     out = []
-    for own in cells:
+    for t in texts:
         total = 0.0
-        for context, byte in own:
+        for context, byte in cells(t):
             excluded = set()
             for k in range(order, -1, -1):
-                seen = Counter(follow[context[order - k :]])
-                seen[byte] -= 1
-                live = {b: n for b, n in seen.items() if n > 0 and b not in excluded}
+                live = {b: n for b, n in follow[context[order - k :]].items() if b not in excluded and (k < 2 or n >= least)}
                 size = sum(live.values()) + len(live)
                 if byte in live:
                     total += math.log2(size / live[byte])
@@ -59,28 +57,51 @@ def brute_bits(texts, order):
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_code_lengths_are_those_of_brute_force(spark, order, broadcast):
+def ppm_texts(order):
     rng = random.Random(order)
     texts = ["".join(rng.choice("abcd é\0") for _ in range(rng.randrange(0, 80))) for _ in range(30)]
-    texts += ["", "a", "abababababab", "the cat sat on the mat", "the cat sat on the mat", "ÿ", None, "z" * 300]
+    return [*texts, "", "a", "abababababab", "the cat sat on the mat", "the cat sat on the mat", "ÿ", None, "z" * 300]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("nodes", [lm_scoring.NODES, 40])
+def test_code_lengths_are_those_of_brute_force(spark, order, nodes):
+    texts = ppm_texts(order)
     rows = [(i, t, "") for i, t in enumerate(texts)] + [(None, "abc", ""), (3, texts[3], "")]
     df = table(spark, rows)
-    found = lm_scoring.score_documents(df, order, most_costs=lm_scoring.COSTS if broadcast else -1)
+    found = lm_scoring.score_documents(df, order, nodes=nodes)
     assert found.columns == ["doc_id", "n_bytes", "code_length", "bits_per_byte"]
+    half = [r[0] for r in spark.createDataFrame([(t,) for _, t, _ in rows], "t string").select(F.coalesce(F.pmod(F.xxhash64("t"), F.lit(2)), F.lit(0))).collect()]
+    assert set(half) == {0, 1}
     expected = []
-    for (i, t, _), b in zip(rows, brute_bits([t for _, t, _ in rows], order), strict=True):
-        n = None if t is None else len(t.encode())
-        expected.append((i, n, None if n is None else b, None if n is None else (b / n if n else 0.0)))
-    got = sorted((tuple(r) for r in found.collect()), key=repr)
-    for a, b in zip(sorted(got, key=lambda r: (repr(r[0]), repr(r[1]))), sorted(expected, key=lambda r: (repr(r[0]), repr(r[1]))), strict=True):
+    for p in (0, 1):
+        fitted = [t for (_, t, _), h in zip(rows, half, strict=True) if h != p]
+        seen = Counter(x[k : k + d + 1] for t in fitted for x in [bytes(order) + (t or "").encode()] for d in range(2, order + 1) for k in range(order - d, len(x) - d))
+        least = next(n for n in range(1, 10**6) if sum(m >= n for m in seen.values()) <= nodes)
+        assert (least > 1) is (nodes == 40)
+        own = [(i, t) for (i, t, _), h in zip(rows, half, strict=True) if h == p]
+        for (i, t), b in zip(own, brute_bits(fitted, [t for _, t in own], order, least), strict=True):
+            n = None if t is None else len(t.encode())
+            expected.append((i, n, None if n is None else b, None if n is None else (b / n if n else 0.0)))
+    by = lambda r: (repr(r[0]), repr(r[1]))
+    for a, b in zip(sorted((tuple(r) for r in found.collect()), key=by), sorted(expected, key=by), strict=True):
         assert a[:2] == b[:2]
         assert (a[2] is None) == (b[2] is None)
         if b[2] is not None:
             assert a[2] == pytest.approx(b[2], abs=2e-3) and a[3] == pytest.approx(b[3], abs=1e-3)
 
 
+def test_a_model_of_one_table_scores_another(spark):
+    texts = ppm_texts(4)
+    others = ["the mat sat on the cat", "", None, "nothing of it: QXJ", "abab" * 50]
+    model = lm_scoring.fit(table(spark, [(1, t, "") for t in texts]))
+    found = {r.doc_id: r.code_length for r in lm_scoring.score(table(spark, [(i, t, "") for i, t in enumerate(others)]), model).collect()}
+    for i, (t, b) in enumerate(zip(others, brute_bits(texts, others, 4), strict=True)):
+        assert found[i] is None if t is None else found[i] == pytest.approx(b, abs=2e-3)
+    nothing = lm_scoring.fit(table(spark, []))
+    assert [r.code_length for r in lm_scoring.score(table(spark, [(1, "abc", "")]), nothing).collect()] == [24.0]
+
+
 def test_scoring_nothing(spark):
     assert lm_scoring.score_documents(table(spark, [])).count() == 0
     assert [tuple(r) for r in lm_scoring.score_documents(table(spark, [(1, None, ""), (2, "", "")])).orderBy("doc_id").collect()] == [(1, None, None, None), (2, 0, 0.0, 0.0)]
