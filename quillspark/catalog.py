@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.queries import retrieval, stores
+from quillspark.queries import lifecycle, retrieval, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**retrieval.QUERIES, **stores.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES, **stores.ORACLES}
+QUERIES: dict[str, Query] = {**retrieval.QUERIES, **stores.QUERIES, **lifecycle.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **stores.ORACLES, **lifecycle.ORACLES}

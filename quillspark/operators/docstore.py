@@ -59,6 +59,27 @@ def repeated_names(names: DataFrame) -> DataFrame:
     return names.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("segment")).alias("segments")).where("n > 1")
 
 
+class NameRegistry:
+    """Paths and their names in a folder: a path is registered once, by the first row that has it."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self._empty = True
+
+    def insert(self, names: DataFrame) -> None:
+        """Register those of the rows (segment, path) whose path isn't there yet."""
+        rows = registered_names(names.select("segment", "path"))
+        (rows if self._empty else new_paths(rows, self.rows())).write.mode("append").parquet(self.path)
+        self._empty = False
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema("segment string, path string").parquet(self.path)
+
+    def get(self, *paths: str) -> DataFrame:
+        """The rows of these paths; the filter reaches the scan."""
+        return self.rows().where(F.col("path").isin(*paths))
+
+
 def known_paths(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return candidates.join(registry.select("path").distinct(), "path", "left_semi")
 

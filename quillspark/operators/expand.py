@@ -19,7 +19,7 @@ POSITION_SCORE = 20
 def query_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
     """(qpos, q, qkey) of the terms of a query, in their order."""
     if not terms:
-        raise ValueError("a search needs at least one term")
+        raise ValueError("a query needs at least one term")
     rows = local_rows(spark, list(enumerate(terms)), "qpos int, q string")
     return rows.withColumn("qkey", T.term_key(F.col("q")))
 
@@ -96,7 +96,8 @@ def hit_scores(index: Index, keys: DataFrame, rows: list | None = None) -> DataF
         for r in rows:
             spans.setdefault((r.segment, r.qpos), []).append(r.term)
         postings = _narrowed(postings, "term", [(s, min(x), max(x)) for (s, _), x in spans.items()])
-    return postings.join(F.broadcast(keys), ["segment", "term"]).select("segment", "qpos", "doc_id", T.posting_score(F.col("tf"), F.col("score")).alias("score"))  # the accepted keys of a query are few
+    few = keys if rows is None else F.broadcast(keys)  # HELD_ROWS at most
+    return postings.join(few, ["segment", "term"]).select("segment", "qpos", "doc_id", T.posting_score(F.col("tf"), F.col("score")).alias("score"))
 
 
 def document_scores(index: Index, keys: DataFrame) -> DataFrame:

@@ -42,11 +42,12 @@ def spans_of(positions: DataFrame) -> DataFrame:
 
 
 def shown_results(results: DataFrame, spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str | None = None) -> DataFrame:
-    """(doc_id, score, url, snippet, matches) for each result; those without spans have null snippet and matches."""
+    """(doc_id, score, url, snippet, matches) for each of a page of results; those without spans have null snippet and matches."""
     url = F.col(url_col) if url_col else F.lit(None).cast("string")
     held = docs.select(F.col(id_col).alias("doc_id"), url.alias("url"), F.col(text_col).alias("_text"))
-    few = F.broadcast(results.join(F.broadcast(spans), ["segment", "doc_id"], "left"))  # a page of results
-    joined = held.join(few, "doc_id", "right")
+    few = results.join(spans, ["segment", "doc_id"], "left")
+    texts = held.join(F.broadcast(results.select("doc_id").distinct()), "doc_id")  # a page of results: the documents stay where they are
+    joined = few.join(texts, "doc_id", "left")
     cut = F.when(F.col("matches").isNotNull(), snippet(F.col("_text"), F.col("matches")))
     return joined.select("doc_id", "score", "url", cut.alias("snippet"), "matches")
 

@@ -1,13 +1,17 @@
 """Building, tiering, merging and checking inverted-index segments.
 
-A segment has three tables: positions (segment, term, doc_id, pos), postings
-(segment, term, doc_id, tf) and terms (segment, term, term_ord, k27, is_stub, df,
-cf). They are written by segment and sorted by term, so that a search reads the
-row groups of its terms only.
+A segment has two tables: postings (segment, term, doc_id, tf, places), whose rows
+hold a term's positions in a document, and terms (segment, term, term_ord, k27,
+is_stub, df, cf). They are written by segment and sorted by term, so that a query
+reads the row groups of its terms only, and positions only where it asks for them.
+A folder's catalogue names the segments that it has; what it doesn't name isn't
+there, so one small file, written last, publishes a change as a whole.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,30 +24,44 @@ from quillspark.storage import new_path
 STUB_EVERY = 10
 TIER_BLOCK = 256
 
-#: Bytes of input text in a segment, about, and segments before some are merged.
+#: Bytes of input in a segment, about, and segments before some are merged.
 SEGMENT_BYTES = 200_000_000
 MOST_SEGMENTS = 8
 
-#: Files of a segment's positions and of its postings, at most; each is sorted by term.
+#: Files of a segment's postings, at most; each is sorted by term.
 SEGMENT_FILES = 16
 
+#: An estimate above this is none.
+_UNKNOWN_BYTES = 1 << 60
 
-def positions_of(docs: DataFrame, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True) -> DataFrame:
-    """(segment, term, doc_id, pos) of every index term of every document; documents are dealt out only where they come in fewer splits than there are cores.
+POSTINGS = "segment string, term string, doc_id long, tf int, places array<int>"
+TERMS = "segment string, term string, term_ord long, k27 long, is_stub boolean, df long, cf long"
+
+
+def grouped_terms(docs: DataFrame, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True) -> DataFrame:
+    """(segment, term, doc_id, tf, places) of every index term of every document, without a shuffle.
 
-    segment names a column of docs; without it all rows are of segment '0'.
-    Null and empty texts have no terms.
+    segment names a column of docs; without it all rows are of segment '0'. Null
+    and empty texts have no terms. Rows that share an id each have rows of their own.
     """
+    from quillspark.functions.postings import postings_batches
+
     name = F.col(segment).cast("string") if segment else F.lit("0")
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if not docs.isStreaming and docs.rdd.getNumPartitions() < cores:  # a few files whose splits are fewer than the cores
-        docs = docs.select(*{segment, id_col, text_col} - {None}).repartition(cores)
-    rows = docs.select(name.alias("segment"), F.col(id_col).alias("doc_id"), F.explode(T.tokens(F.col(text_col), stop_words)).alias("t"))
-    return rows.select("segment", F.col("t.term").alias("term"), "doc_id", F.col("t.pos").alias("pos"))
+    rows = docs.select(name.alias("segment"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    return rows.mapInArrow(lambda batches: postings_batches(batches, stop_words), POSTINGS)
+
+
+def positions_of(docs: DataFrame, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True) -> DataFrame:
+    """(segment, term, doc_id, pos) of every index term of every document."""
+    return _places(grouped_terms(docs, segment, id_col, text_col, stop_words))
+
+
+def _places(postings: DataFrame) -> DataFrame:
+    return postings.select("segment", "term", "doc_id", F.explode("places").alias("pos"))
 
 
 def term_frequencies(positions: DataFrame) -> DataFrame:
-    """(segment, term, doc_id, tf); a document's terms lie together, so most of the counting is done before the shuffle."""
+    """(segment, term, doc_id, tf) of positions; a document's terms lie together, so most of the counting is done before the shuffle."""
     return positions.groupBy("segment", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -53,22 +71,27 @@ def vocabulary(postings: DataFrame) -> DataFrame:
 
 
 def numbered_terms(vocab: DataFrame) -> DataFrame:
-    """vocab with term_ord (place in the segment from 0), k27 and is_stub (every tenth term, and the last)."""
+    """vocab with term_ord (place in the segment from 0), k27 and is_stub (every tenth term, and the last). One sort a segment, whose vocabulary its bytes bound."""
     order = Window.partitionBy("segment").orderBy("term")
     ranked = vocab.withColumn("term_ord", (F.row_number().over(order) - 1).cast("long"))
-    last = F.max("term_ord").over(Window.partitionBy("segment"))
-    return ranked.select("segment", "term", "term_ord", T.term_key(F.col("term")).alias("k27"), ((F.col("term_ord") % STUB_EVERY == 0) | (F.col("term_ord") == last)).alias("is_stub"), "df", "cf")
+    last = F.lead("term").over(order).isNull()
+    return ranked.select("segment", "term", "term_ord", T.term_key(F.col("term")).alias("k27"), ((F.col("term_ord") % STUB_EVERY == 0) | last).alias("is_stub"), "df", "cf")
 
 
 def tier_blocks(postings: DataFrame) -> DataFrame:
-    """postings with tier: blocks of TIER_BLOCK documents of a term, by rising tf, then doc_id."""
+    """postings with tier: blocks of TIER_BLOCK documents of a term, by rising tf, then doc_id. One sort a term and segment, whose documents its bytes bound."""
     order = Window.partitionBy("segment", "term").orderBy("tf", "doc_id")
     return postings.withColumn("tier", F.floor((F.row_number().over(order) - 1) / TIER_BLOCK).cast("int"))
 
 
+def tier(tiers: DataFrame, term: str, number: int) -> DataFrame:
+    """(segment, doc_id, tf) of one block of a term's tier_blocks(), by tf, then doc_id: what a caller steps through block by block."""
+    return tiers.where((F.col("term") == term) & (F.col("tier") == number)).select("segment", "doc_id", "tf").orderBy("segment", "tf", "doc_id")
+
+
 @dataclass
 class Index:
-    """The tables of some segments."""
+    """The tables of some segments; postings have the places of positions too where they were built together."""
 
     terms: DataFrame
     postings: DataFrame
@@ -80,76 +103,142 @@ class Index:
         return Index(self.terms.where(on), self.postings.where(on), self.positions.where(on), self.path)
 
 
+def _indexed(postings: DataFrame, path: str | None = None, terms: DataFrame | None = None) -> Index:
+    plain = postings.drop("places")
+    return Index(numbered_terms(vocabulary(plain)) if terms is None else terms, plain, _places(postings), path)
+
+
 def build(docs: DataFrame, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True) -> Index:
-    """An index as a plan; nothing is written."""
-    positions = positions_of(docs, segment, id_col, text_col, stop_words)
-    postings = term_frequencies(positions)
-    return Index(numbered_terms(vocabulary(postings)), postings, positions)
+    """An index as a plan; nothing is written. Ids must be unique."""
+    return _indexed(grouped_terms(docs, segment, id_col, text_col, stop_words))
 
 
-_SCHEMAS = {
-    "positions": "segment string, term string, doc_id long, pos int",
-    "postings": "segment string, term string, doc_id long, tf int",
-    "terms": "segment string, term string, term_ord long, k27 long, is_stub boolean, df long, cf long",
-}
+# the folder of an index ---
 
 
-def _sorted_write(df: DataFrame, path: str, table: str, keys: list[str]) -> None:
-    names = [x.split()[0] for x in _SCHEMAS[table].split(", ")]
-    typed = df.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in _SCHEMAS[table].split(", ")]).select(*names)
-    if table != "terms":  # those come from one sort a segment already
-        typed = typed.repartition("segment", F.pmod(F.hash("term"), F.lit(SEGMENT_FILES)))
-    typed.sortWithinPartitions("segment", *keys).write.mode("append").partitionBy("segment").parquet(f"{path}/{table}")
+@dataclass(frozen=True)
+class Segment:
+    """A segment of a catalogue: its name, the version of its data, how many positions it has, and the names of those that were merged into it."""
 
+    name: str
+    version: str
+    size: int
+    of: tuple[str, ...] = ()
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    """The index written to a folder."""
-    read = lambda table: spark.read.schema(_SCHEMAS[table]).parquet(f"{path}/{table}")
-    return Index(read("terms"), read("postings"), read("positions"), path)
+    def holds(self, name: str) -> bool:
+        """Whether documents that were added under a name, or a numbered part of it, are in here."""
+        return any(x == name or (x.startswith(f"{name}.") and x[len(name) + 1 :].isdigit()) for x in (self.name, *self.of))
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at, at(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_index(docs: DataFrame, path: str, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True, replace: bool = False) -> Index:
+def catalogue(spark: SparkSession, path: str) -> tuple[int, list[Segment]]:
+    """The number of a folder's last catalogue, 0 if there is none, and the segments in it."""
+    at, files = _files(spark, path)
+    folder = at(f"{path}/catalogue")
+    numbers = [int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()] if files.exists(folder) else []
+    if not numbers:
+        return 0, []
+    rows = spark.read.text(f"{path}/catalogue/{max(numbers):012d}").collect()  # one row a segment
+    found = [json.loads(r[0]) for r in rows]
+    return max(numbers), [Segment(**(f | {"of": tuple(f["of"])})) for f in found]
+
+
+def _commit(spark: SparkSession, path: str, number: int, segments: list[Segment]) -> None:
+    """Write the catalogue that follows the one of that number: a file under another name, renamed; only one writer can win."""
+    at, files = _files(spark, path)
+    files.mkdirs(at(f"{path}/catalogue"))
+    draft, final = at(f"{path}/catalogue/_{uuid.uuid4().hex}"), at(f"{path}/catalogue/{number + 1:012d}")
+    out = files.create(draft, False)
+    out.write(bytearray("".join(json.dumps(s.__dict__) + "\n" for s in segments).encode()))
+    out.close()
+    if files.exists(final) or not files.rename(draft, final):
+        files.delete(draft, False)
+        raise RuntimeError("another writer has changed the index; try again")
+
+
+def _folder(spark: SparkSession, path: str, table: str, s: Segment) -> str:
+    """Where a segment's rows of a table are."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(s.name)
+    return f"{path}/{table}/segment={name}/version={s.version}"
+
+
+def _rows(spark: SparkSession, path: str, table: str, schema: str, segments: list[Segment]) -> DataFrame:
+    if not segments:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(f"{schema}, version string").option("basePath", f"{path}/{table}")
+    return reader.parquet(*[_folder(spark, path, table, s) for s in segments]).drop("version")
+
+
+def _opened(spark: SparkSession, path: str, segments: list[Segment]) -> Index:
+    return _indexed(_rows(spark, path, "postings", POSTINGS, segments), path, _rows(spark, path, "terms", TERMS, segments))
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index of a folder, as its last catalogue has it."""
+    return _opened(spark, path, catalogue(spark, path)[1])
+
+
+def _write(postings: DataFrame, path: str) -> list[Segment]:
+    """Write the postings and the terms of some segments, which no catalogue names yet."""
+    spark = postings.sparkSession
+    version = uuid.uuid4().hex
+    held = postings.withColumn("version", F.lit(version))
+    dealt = held.repartition("segment", F.pmod(F.hash("term"), F.lit(SEGMENT_FILES)))
+    dealt.sortWithinPartitions("segment", "term", "doc_id").write.mode("append").partitionBy("segment", "version").parquet(f"{path}/postings")
+    at, files = _files(spark, path)
+    folders = files.globStatus(at(f"{path}/postings/segment=*/version={version}")) or []
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    names = [unescape(f.getPath().getParent().getName().removeprefix("segment=")) for f in folders]
+    if not names:
+        return []
+    fresh = [Segment(n, version, 0) for n in names]
+    read = _rows(spark, path, "postings", POSTINGS, fresh)
+    numbered_terms(vocabulary(read)).withColumn("version", F.lit(version)).sortWithinPartitions("segment", "term").write.mode("append").partitionBy("segment", "version").parquet(f"{path}/terms")
+    sizes = dict(_opened(spark, path, fresh).terms.groupBy("segment").agg(F.sum("cf")).collect())  # one row a segment
+    return [Segment(n, version, int(sizes[n])) for n in names]
+
+
+def _input_bytes(docs: DataFrame, text_col: str) -> int:
+    """How large the input is: the optimiser's estimate, or the bytes of its texts where it has none."""
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < _UNKNOWN_BYTES else docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+
+
+def write_index(docs: DataFrame, path: str, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True, replace: bool = False, most_bytes: int = SEGMENT_BYTES) -> Index:
     """Build an index of the documents and add it to a folder; ids must be unique over all of its segments.
 
-    Texts are read once: postings are counted from the positions written, where
-    a term's rows already lie together. Finished segments are moved into the
-    folder, the terms last. One that is there already is an error, or with
-    replace is replaced.
+    Texts are read once and postings shuffled once. Where the input has more than
+    most_bytes, each segment is cut by a hash of the ids into several, 'NAME.0',
+    'NAME.1' and so on. One that is there already is an error, or with replace is
+    replaced, and all its parts with it. Readers see all of the new segments or none.
     """
     spark = docs.sparkSession
-    fresh = new_path(spark, "segment")
-    _sorted_write(positions_of(docs, segment, id_col, text_col, stop_words), fresh, "positions", ["term", "doc_id", "pos"])
-    _finish(spark, fresh)
-    _publish(spark, fresh, path, replace)
+    parts = -(-_input_bytes(docs.select(*{id_col, text_col}), text_col) // most_bytes)
+    base = F.coalesce(F.col(segment).cast("string"), F.lit("0")) if segment else F.lit("0")
+    name = base
+    if parts > 1:
+        name = F.concat(name, F.lit("."), F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)))
+    fresh = _write(grouped_terms(docs.withColumn("_segment", name), "_segment", id_col, text_col, stop_words), path)
+    number, there = catalogue(spark, path)
+    names = {s.name.rsplit(".", 1)[0] if parts > 1 else s.name for s in fresh}
+    gone = [s for s in there if any(s.holds(n) for n in names)]
+    if gone and not replace:
+        _remove(spark, path, fresh)
+        raise ValueError(f"the index has this already: {gone[0].name}")
+    _commit(spark, path, number, [s for s in there if s not in gone] + fresh)
+    _remove(spark, path, gone)
     return open_index(spark, path)
 
 
-def _finish(spark: SparkSession, path: str) -> Index:
-    """Count postings and terms of the positions in a folder."""
-    positions = spark.read.schema(_SCHEMAS["positions"]).parquet(f"{path}/positions")
-    _sorted_write(term_frequencies(positions), path, "postings", ["term", "doc_id"])
-    postings = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
-    _sorted_write(numbered_terms(vocabulary(postings)), path, "terms", ["term"])
-    return open_index(spark, path)
-
-
-def _publish(spark: SparkSession, fresh: str, path: str, replace: bool) -> None:
-    """Move a folder's segments into another one: one rename a segment and table."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    files = at(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
-    for table in _SCHEMAS:
-        files.mkdirs(at(f"{path}/{table}"))
-        for found in files.listStatus(at(f"{fresh}/{table}")):
-            name = found.getPath().getName()
-            if not name.startswith("segment="):
-                continue
-            to = at(f"{path}/{table}/{name}")
-            if files.exists(to):
-                if not replace:
-                    raise ValueError(f"the index has this already: {name}")
-                files.delete(to, True)
-            files.rename(found.getPath(), to)
-    files.delete(at(fresh), True)
+def _remove(spark: SparkSession, path: str, segments: list[Segment]) -> None:
+    at, files = _files(spark, path)
+    for s in segments:
+        for table in ("postings", "terms"):
+            files.delete(at(_folder(spark, path, table, s)), True)
 
 
 def merge_segments(index: Index, segments: list[str], into: str) -> Index:
@@ -162,15 +251,31 @@ def merge_segments(index: Index, segments: list[str], into: str) -> Index:
     return Index(numbered_terms(vocabulary(postings)), postings, positions)
 
 
-def compact(spark: SparkSession, path: str, to: str, most: int = MOST_SEGMENTS) -> Index:
-    """The index of a folder written to another one, with its smallest segments merged till `most` are left."""
-    index = open_index(spark, path)
-    sizes = [(r["cf"], r["segment"]) for r in index.terms.groupBy("segment").agg(F.sum("cf").alias("cf")).collect()]  # one row a segment
-    sizes.sort()
-    gone = [name for _, name in sizes[: max(0, len(sizes) - most + 1)]] if len(sizes) > most else []
-    merged = merge_segments(index, gone, "+".join(sorted(gone))[:64]) if gone else index
-    _sorted_write(merged.positions, to, "positions", ["term", "doc_id", "pos"])
-    return _finish(spark, to)
+def compact(spark: SparkSession, path: str, most: int = MOST_SEGMENTS, most_size: int = SEGMENT_BYTES) -> Index:
+    """The index of a folder, its smallest segments merged in place for as long as it has more than `most`.
+
+    Only the merged segments are read and written; their folders go once the new
+    catalogue is there. Segments that together would have more than most_size
+    positions stay apart, so that a large index keeps more than `most`.
+    """
+    number, there = catalogue(spark, path)
+    while len(there) > most:
+        by_size = sorted(there, key=lambda s: (s.size, s.name))
+        some, total = [], 0
+        for s in by_size[: len(there) - most + 1]:
+            if total + s.size > most_size:
+                break
+            some.append(s)
+            total += s.size
+        if len(some) < 2:
+            break
+        fresh = _write(_rows(spark, path, "postings", POSTINGS, some).withColumn("segment", F.lit(f"merged-{uuid.uuid4().hex}")), path)
+        of = tuple(sorted({n for s in some for n in (s.name, *s.of)}))
+        there = [s for s in there if s not in some] + [Segment(s.name, s.version, s.size, of) for s in fresh]
+        _commit(spark, path, number, there)
+        number += 1
+        _remove(spark, path, some)
+    return _opened(spark, path, there)
 
 
 def inconsistencies(index: Index) -> DataFrame:
@@ -207,7 +312,7 @@ class IndexBuilder:
         return self
 
     def persist(self, name: str | None = None) -> Index | None:
-        """Write what was appended as one segment; None if that is nothing."""
+        """Write what was appended as one segment, or as several if it is large; None if that is nothing."""
         if not self._parts:
             return None
         docs = self._parts[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What each term's score counts for when all terms are there.
 ALL_FACTOR = 1.3
@@ -55,20 +56,38 @@ def joined_segments(results: DataFrame, first: int = JOIN_FIRST) -> DataFrame:
 
     Segments are taken by name, their documents from the best score down. From
     the `first` on, one needs the running mean of what was taken, in single
-    precision, over JOIN_DIVISOR, cut to a whole number.
+    precision, over JOIN_DIVISOR, cut to a whole number. As a segment's scores
+    fall, once one is refused all the rest of it are: how far down each segment is
+    taken follows from how many documents have each score, and only those numbers
+    are walked in order.
     """
-    order = F.array_sort(F.collect_list(F.struct("segment", (-F.col("score")).alias("less"), "doc_id")))
-    lists = results.groupBy().agg(order.alias("all"))
-    state = F.struct(F.lit(0).alias("n"), F.lit(0.0).cast("float").alias("mean"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
-
-    def step(a, x):
-        n, mean = a.getField("n"), a.getField("mean")
-        score = -x.getField("less")
-        needed = F.when(n < first, F.lit(0).cast("long")).otherwise((mean.cast("double") / F.lit(JOIN_DIVISOR).cast("float").cast("double")).cast("float").cast("long"))
-        product = (n.cast("double") * mean.cast("double")).cast("float")
-        total = (product.cast("double") + score.cast("double")).cast("float")
-        new = (total.cast("double") / (n + 1).cast("double")).cast("float")
-        return F.when(score >= needed, F.struct((n + 1).alias("n"), new.alias("mean"), F.concat(a.getField("kept"), F.array(x)).alias("kept"))).otherwise(a)
-
-    kept = lists.select(F.explode(F.aggregate("all", state, step, lambda a: a.getField("kept"))).alias("k"))
-    return kept.select(F.col("k.segment").alias("segment"), F.col("k.doc_id").alias("doc_id"), (-F.col("k.less")).alias("score"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("segment", "score", "n")), strict=True), key=lambda r: (r[0], -r[1]))
+        divisor = float(np.float32(JOIN_DIVISOR))
+        taken, mean, shut, out = 0, np.float32(0), None, []
+        for segment, score, n in rows:
+            if segment == shut:
+                continue
+            for k in range(n):
+                if taken >= first and score < int(np.float32(float(mean) / divisor)):
+                    shut = segment
+                    n = k
+                    break
+                total = np.float32(float(np.float32(taken * float(mean))) + score)
+                taken += 1
+                mean = np.float32(float(total) / taken)
+            out.append((segment, score, n))
+        least = {segment: (score, n) for segment, score, n in out}
+        return pa.table({"segment": pa.array(list(least), pa.string()), "_least": pa.array([x for x, _ in least.values()], pa.int64()), "_last": pa.array([n for _, n in least.values()], pa.int64())})
+
+    import pyarrow as pa
+
+    counts = results.groupBy("segment", "score").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy().applyInArrow(walk, "segment string, _least long, _last long")
+    held = results.join(F.broadcast(ends), "segment")  # a row a segment
+    order = Window.partitionBy("segment").orderBy("doc_id")
+    lowest = held.where(F.col("score") == F.col("_least")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("_last"))
+    return held.where(F.col("score") > F.col("_least")).select("segment", "doc_id", "score").unionByName(lowest.select("segment", "doc_id", "score"))

@@ -48,7 +48,8 @@ def flattened_json(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     and null as the word, n has numbers. An object has the row OBJECT at its
     own path; an array has a child for each index and one named length. Null and
     unreadable documents have no rows. Levels are taken apart one after another,
-    each from a table that holds only what is still nested.
+    each from a table that holds only what is still nested; one that is nested
+    more than MOST_LEVELS deep is an error.
     """
     level = docs.select(F.col(id_col).alias("_id"), F.lit("").alias("path"), F.try_parse_json(F.col(json_col)).alias("v")).where("v IS NOT NULL")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -56,7 +57,7 @@ def flattened_json(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     for depth in range(MOST_LEVELS):
         typed = level.withColumn("_type", F.substring_index(F.schema_of_variant("v"), "<", 1))
         if depth:
-            typed = written(typed.select("_id", "path", "v", "_type"), "json-level") if depth > 1 else typed
+            typed = written(typed.select("_id", "path", "v", "_type"), "json-level")
         plain = typed.where(~F.col("_type").isin("OBJECT", "ARRAY"))
         word = F.col("_type").isin("VOID", "STRING", "BOOLEAN")
         scalars = plain.select(
@@ -74,8 +75,9 @@ def flattened_json(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
         arrays = nested.where("_type = 'ARRAY'").select("_id", F.concat("path", F.lit("/length/")).alias("path"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("s"), F.size(F.expr("try_variant_get(v, '$', 'array<variant>')")).cast("double").alias("n"))
         here = scalars.unionByName(objects).unionByName(arrays)
         out = here if out is None else out.unionByName(here)
-        nested.createOrReplaceTempView("_nested_json")
-        level = docs.sparkSession.sql("SELECT _id, concat(path, '/', coalesce(c.key, cast(c.pos AS string))) AS path, c.value AS v FROM _nested_json, LATERAL variant_explode(v) AS c(pos, key, value)")
+        level = docs.sparkSession.sql("SELECT _id, concat(path, '/', coalesce(c.key, cast(c.pos AS string))) AS path, c.value AS v FROM {nested}, LATERAL variant_explode(v) AS c(pos, key, value)", nested=nested)
+    else:
+        raise ValueError("nested too deeply")
     return out.select(F.col("_id").cast(kind).alias(id_col), "path", "kind", "s", "n")
 
 

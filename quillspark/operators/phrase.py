@@ -14,7 +14,7 @@ FIRST_MATCHES = 4
 
 def match_positions(index: Index, keys: DataFrame, results: DataFrame) -> DataFrame:
     """(segment, doc_id, pos, len) of the keys (segment, term) in the documents of the results, each place once."""
-    found = index.positions.join(F.broadcast(keys.select("segment", "term").distinct()), ["segment", "term"], "left_semi")  # few keys
+    found = index.positions.join(keys.select("segment", "term").distinct(), ["segment", "term"], "left_semi")
     inside = found.join(results.select("segment", "doc_id").distinct(), ["segment", "doc_id"], "left_semi")
     return inside.select("segment", "doc_id", "pos", F.length("term").alias("len"))
 

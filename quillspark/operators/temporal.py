@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.operators.paths import range_scan
-from quillspark.storage import BROADCAST_ROWS
+from quillspark.storage import written
 
 FOREVER = 9223372036854775807
 
@@ -56,6 +56,17 @@ def snapshot_range(versions: DataFrame, prefix: str, ts: int) -> DataFrame:
     return snapshot(range_scan(versions, prefix, "key"), ts)
 
 
+def blocked_reads(reads: DataFrame, log: DataFrame, txns: DataFrame) -> DataFrame:
+    """Reads (key, ts) that fail, as another transaction (not their own, in txn_id) has a pending write of the key at their time or before it."""
+    pending = log.join(txns.where("status = 'P'").select("txn_id"), "txn_id", "left_semi")
+    # the earliest pending write of a key, and the earliest of any other transaction than that
+    first = pending.groupBy("key", "txn_id").agg(F.min("ts").alias("at")).groupBy("key").agg(F.min_by(F.struct("txn_id", "at"), F.struct("at", "txn_id")).alias("first"))
+    others = pending.join(first, "key").where("txn_id <> first.txn_id").groupBy("key").agg(F.min("ts").alias("other"))
+    held = reads.join(first, "key").join(others, "key", "left")
+    own = F.col("txn_id").eqNullSafe(F.col("first.txn_id"))
+    return held.where(F.when(own, F.col("other")).otherwise(F.col("first.at")) <= F.col("ts")).select("key", "ts", "txn_id")
+
+
 def as_of_join(reads: DataFrame, versions: DataFrame) -> DataFrame:
     """reads (key, ts, ...) with kind, s, n of the latest version that had begun, null if there is none or it is a deletion.
 
@@ -111,25 +122,36 @@ def rejected_writes(log: DataFrame) -> DataFrame:
     return seen.where("op = 'Write'").withColumn("reason", reason).where("reason IS NOT NULL").select("key", "seq", "ts", "reason")
 
 
-def phantom_inserts(keys: DataFrame, inserts: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def phantom_inserts(keys: DataFrame, inserts: DataFrame) -> DataFrame:
     """Inserts (key, ts) of new keys next to a key (key, last_read) that a later time has read: (key, ts).
 
-    The neighbours of few inserts are found by comparing keys with them in one
-    pass; more are sorted together with the keys.
+    An insert of a key that is there already is none of a new key. Keys and inserts
+    are sorted together range by range; what a range's first insert has before it
+    and its last one behind it comes from the nearest other range with a key, by a
+    table of one row a range.
     """
-    if inserts.count() <= min(most, 10_000):
-        i, k = F.broadcast(inserts.distinct()).alias("i"), keys.alias("k")
-        pairs = k.join(i, F.col("k.key") != F.col("i.key"))
-        near = pairs.groupBy(F.col("i.key").alias("key"), F.col("i.ts").alias("ts")).agg(
-            F.max_by("k.last_read", F.when(F.col("k.key") < F.col("i.key"), F.col("k.key"))).alias("before"),
-            F.min_by("k.last_read", F.when(F.col("k.key") > F.col("i.key"), F.col("k.key"))).alias("after"),
-        )
-    else:
-        both = keys.select("key", "last_read", F.lit(None).cast("long").alias("ts")).unionByName(inserts.distinct().select("key", F.lit(None).cast("long").alias("last_read"), "ts"))
-        order = Window.orderBy("key")
-        back, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-        near = both.withColumn("before", F.last("last_read", ignorenulls=True).over(back)).withColumn("after", F.first("last_read", ignorenulls=True).over(on)).where("ts IS NOT NULL")
-    return near.where((F.col("before") > F.col("ts")) | (F.col("after") > F.col("ts"))).select("key", "ts")
+    both = keys.groupBy("key").agg(F.max("last_read").alias("last_read")).select("key", F.struct("last_read").alias("there"), F.lit(None).cast("long").alias("ts"))
+    both = both.unionByName(inserts.select("key", F.lit(None).cast("struct<last_read:long>").alias("there"), "ts").distinct())
+    ranged = written(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "ranges")
+    edges = ranged.where("there IS NOT NULL").groupBy("part").agg(F.min_by("there", "key").alias("low"), F.max_by("there", "key").alias("high")).collect()  # a row a range
+    parts = sorted({r[0] for r in ranged.select("part").distinct().collect()})
+    rows, held = [], sorted((r["part"], r["low"][0], r["high"][0]) for r in edges)
+    for p in parts:
+        below = [high for part, _, high in held if part < p]
+        above = [low for part, low, _ in held if part > p]
+        rows.append((p, below[-1] if below else None, above[0] if above else None))
+    borders = keys.sparkSession.createDataFrame(rows, "part int, below long, above long")
+    order = Window.partitionBy("part").orderBy("key")
+    back, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    same = Window.partitionBy("part", "key")
+    near = (
+        ranged.withColumn("known", F.max(F.col("there").isNotNull()).over(same))
+        .withColumn("before", F.last("there", ignorenulls=True).over(back)).withColumn("after", F.first("there", ignorenulls=True).over(on))
+        .where("ts IS NOT NULL AND NOT known").join(F.broadcast(borders), "part")
+    )
+    before = F.when(F.col("before").isNotNull(), F.col("before.last_read")).otherwise(F.col("below"))
+    after = F.when(F.col("after").isNotNull(), F.col("after.last_read")).otherwise(F.col("above"))
+    return near.where((before > F.col("ts")) | (after > F.col("ts"))).select("key", "ts")
 
 
 def repeated_values(table: DataFrame, value_col: str = "value", key_col: str = "key") -> DataFrame:

@@ -47,7 +47,7 @@ class Found:
         return match.joined_segments(self.results)
 
 
-def search(index: Index, terms: list[str], mode: str = "and", window: str = "stub") -> Found:
+def retrieve(index: Index, terms: list[str], mode: str = "and", window: str = "stub") -> Found:
     """Documents that answer the terms, in capitals: all of them, any, or any where all give nothing.
 
     The terms' bounds and the accepted keys are found at once, as small jobs
@@ -64,7 +64,7 @@ def search(index: Index, terms: list[str], mode: str = "and", window: str = "stu
     return Found(index, terms, keys, results)
 
 
-def exact_search(index: Index, term: str) -> DataFrame:
+def retrieve_exact(index: Index, term: str) -> DataFrame:
     """(segment, doc_id, score) of the documents with one exact term; the filter reaches the scan of the postings."""
     hits = index.postings.where(F.col("term") == term)
     return hits.select("segment", "doc_id", ((F.log10(F.col("tf").cast("double")) + 1) * (15.0 * len(term))).cast("long").alias("score"))

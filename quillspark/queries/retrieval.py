@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import expand, highlight, index, match, phrase
-from quillspark.plans.search import exact_search, search
+from quillspark.plans.retrieve import retrieve, retrieve_exact
 from quillspark.storage import new_path
 from quillspark.streaming import incremental
 
@@ -34,7 +34,7 @@ def built(spark: SparkSession, sf_dir: str, parts: int = 1) -> index.Index:
     return index.open_index(spark, _KEPT[key])
 
 
-# SQL ------------------------------------------------------------------------------------------------------------------
+# SQL ---
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(T.STOP_WORDS))
 _POWERS = ", ".join(str(27 ** (11 - i)) for i in range(11))
@@ -63,7 +63,8 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY term) -
 terms AS MATERIALIZED (SELECT segment, term, term_ord, {_key('term')} AS k27, term_ord % 10 = 0 OR term_ord = many - 1 AS is_stub, df, cf FROM numbered)"""
 
 
-def _scan(terms: list[str], segment: str = "'s0'") -> str:
+def _scan(terms: list[str], segment: str = "'s0'", window: str = "stub") -> str:
+    between = "t.segment = s.segment AND t.term_ord BETWEEN first_ord AND stop_ord" if window == "stub" else "t.segment = s.segment AND starts_with(term, q)"
     values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
     return f"""{_index(segment)},
 queries AS (SELECT qpos, q, {_key('q')} AS qkey FROM (VALUES {values}) v(qpos, q)),
@@ -73,14 +74,14 @@ bounds AS (SELECT segment, qpos, q, coalesce(max(term_ord) FILTER (WHERE k27 < q
 ends AS (SELECT b.*, t.k27 AS end_key FROM bounds b JOIN terms t ON t.segment = b.segment AND t.term_ord = b.end_ord WHERE reached),
 stops AS (SELECT e.segment, e.qpos, e.q, e.first_ord, min(t.term_ord) AS stop_ord FROM ends e JOIN terms t ON t.segment = e.segment AND t.term_ord >= e.first_ord AND t.k27 >= e.end_key GROUP BY ALL),
 compared AS (SELECT t.segment, qpos, q, term, term_ord, len(list_filter(range(1, least(length(q), length(term)) + 1), lambda i: left(q, i) = left(term, i))) AS common
-             FROM terms t JOIN stops s ON t.segment = s.segment AND t.term_ord BETWEEN first_ord AND stop_ord),
+             FROM terms t JOIN {"stops" if window == "stub" else "(SELECT segment, qpos, q FROM queries, (SELECT DISTINCT segment FROM terms))"} s ON {between}),
 scored AS (SELECT segment, qpos, q, term, term_ord, common::DOUBLE * (7.0::DOUBLE / (7 + abs(length(q) - length(term))))::FLOAT::DOUBLE
                   * CASE WHEN q = term THEN 15 WHEN common = length(q) THEN 8 ELSE 1 END AS score FROM compared)"""
 
 
-def _accept(terms: list[str], segment: str = "'s0'") -> str:
+def _accept(terms: list[str], segment: str = "'s0'", window: str = "stub") -> str:
     """The cutoff as a recursion over the scan's order."""
-    return f"""WITH RECURSIVE {_scan(terms, segment)},
+    return f"""WITH RECURSIVE {_scan(terms, segment, window)},
 scan AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY segment, qpos ORDER BY term_ord) AS step FROM scored WHERE score >= 4),
 folded AS (
   SELECT segment, qpos, step, 1::BIGINT AS n, trunc(score)::BIGINT AS total, true AS taken FROM scan WHERE step = 1
@@ -97,8 +98,8 @@ every AS (SELECT segment, doc_id, trunc(list_reduce(list(s.score::DOUBLE * 1.3::
           FROM scores s JOIN sizes z USING (segment, qpos) GROUP BY segment, doc_id HAVING count(*) = {n})"""
 
 
-def _and(terms: list[str], segment: str = "'s0'") -> str:
-    return f"{_accept(terms, segment)}, {_ALL.format(n=len(terms))}"
+def _and(terms: list[str], segment: str = "'s0'", window: str = "stub") -> str:
+    return f"{_accept(terms, segment, window)}, {_ALL.format(n=len(terms))}"
 
 
 _SPANS = """top AS (SELECT segment, doc_id, score FROM every ORDER BY score DESC, doc_id LIMIT 20),
@@ -113,7 +114,7 @@ spans AS (
 merged AS (SELECT doc_id, span, arg_max(pos, i) AS pos, arg_max(len, i) AS len FROM spans GROUP BY ALL)"""
 
 
-# queries --------------------------------------------------------------------------------------------------------------
+# queries ---
 
 
 def tokenize_positions(spark, sf_dir):
@@ -135,7 +136,7 @@ def vocabulary(spark, sf_dir):
 
 
 def exact_term_topk(spark, sf_dir):
-    return match.best(exact_search(built(spark, sf_dir), "THE")).select("doc_id", "score")
+    return match.best(retrieve_exact(built(spark, sf_dir), "THE")).select("doc_id", "score")
 
 
 def prefix_score_vectors(spark, sf_dir):
@@ -152,48 +153,48 @@ def expand_cutoff(spark, sf_dir):
 
 
 def search_single(spark, sf_dir):
-    return search(built(spark, sf_dir), ["MENT"]).results.select("doc_id", "score")
+    return retrieve(built(spark, sf_dir), ["MENT"]).results.select("doc_id", "score")
 
 
 def search_and(spark, sf_dir):
-    return search(built(spark, sf_dir), TRIO).results.select("doc_id", "score")
+    return retrieve(built(spark, sf_dir), TRIO).results.select("doc_id", "score")
 
 
 def search_or(spark, sf_dir):
-    return search(built(spark, sf_dir), TRIO, "or").results.select("doc_id", "score")
+    return retrieve(built(spark, sf_dir), TRIO, "or").results.select("doc_id", "score")
 
 
 def search_and_or_fallback(spark, sf_dir):
-    return search(built(spark, sf_dir), ["ORANTION", "ZZZYX"], "and_or_fallback").results.select("doc_id", "score")
+    return retrieve(built(spark, sf_dir), ["ORANTION", "ZZZYX"], "and_or_fallback").results.select("doc_id", "score")
 
 
 def topk20(spark, sf_dir):
-    return search(built(spark, sf_dir), PAIR).best().select("doc_id", "score")
+    return retrieve(built(spark, sf_dir), PAIR).best().select("doc_id", "score")
 
 
 def match_positions(spark, sf_dir):
-    return search(built(spark, sf_dir), PAIR).positions(20).select("doc_id", "pos", "len")
+    return retrieve(built(spark, sf_dir), PAIR).positions(20).select("doc_id", "pos", "len")
 
 
 def span_merge(spark, sf_dir):
-    spans = highlight.spans_of(search(built(spark, sf_dir), PAIR).positions(20))
+    spans = highlight.spans_of(retrieve(built(spark, sf_dir), PAIR).positions(20))
     return spans.select("doc_id", F.posexplode("matches").alias("n", "m")).select("doc_id", (F.col("n") + 1).alias("span"), F.col("m.pos").alias("pos"), F.col("m.len").alias("len"))
 
 
 def snippets(spark, sf_dir):
-    return search(built(spark, sf_dir), PAIR).page(documents(spark, sf_dir)).select("doc_id", "score", "snippet")
+    return retrieve(built(spark, sf_dir), PAIR).page(documents(spark, sf_dir)).select("doc_id", "score", "snippet")
 
 
 def marked_text(spark, sf_dir):
     """The whole texts of a page of results, each match marked."""
-    found = search(built(spark, sf_dir), PAIR)
+    found = retrieve(built(spark, sf_dir), PAIR)
     page = found.page(documents(spark, sf_dir))
     texts = documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(page.select("doc_id", "matches")), "doc_id")  # a page of results
     return texts.select("doc_id", F.posexplode(highlight.marked_segments(F.col("text"), F.coalesce("matches", F.expr("cast(array() AS array<struct<pos:int,len:int>>)")))).alias("n", "m")).select("doc_id", "n", F.col("m.text").alias("text"), F.col("m.mark").alias("mark"))
 
 
 def phrase_rerank(spark, sf_dir):
-    return search(built(spark, sf_dir), PAIR).by_phrase().select("doc_id", "score", "difference")
+    return retrieve(built(spark, sf_dir), PAIR).by_phrase().select("doc_id", "score", "difference")
 
 
 def proximity_min(spark, sf_dir):
@@ -224,11 +225,11 @@ def segment_consistency(spark, sf_dir):
 
 
 def multi_index_search(spark, sf_dir):
-    return search(built(spark, sf_dir, PARTS), PAIR).results.select("segment", "doc_id", "score")
+    return retrieve(built(spark, sf_dir, PARTS), PAIR).results.select("segment", "doc_id", "score")
 
 
 def multi_index_join(spark, sf_dir):
-    return search(built(spark, sf_dir, PARTS), PAIR).joined()
+    return retrieve(built(spark, sf_dir, PARTS), PAIR).joined()
 
 
 def incremental_index(spark, sf_dir):
@@ -273,6 +274,17 @@ ORACLES = {
 shown AS (SELECT doc_id, pos, len, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, pos DESC) AS r FROM merged),
 cut AS (SELECT doc_id, string_agg(substr(text, pos + 1, len), '...' ORDER BY len, pos) AS snippet FROM shown JOIN documents USING (doc_id) WHERE r <= 6 GROUP BY doc_id)
 SELECT t.doc_id, t.score, c.snippet FROM top t LEFT JOIN cut c USING (doc_id)""",
+    "marked_text": f"""{_and(PAIR)}, {_SPANS},
+wide AS (SELECT m.doc_id, d.text, length(regexp_replace(left(d.text, greatest(m.pos - 10, 0)::INT), '[^ ]*$', '')) AS start,
+                least(m.pos + m.len + 20 + length(regexp_extract(substr(d.text, (m.pos + m.len + 21)::INT), '^[^ ]*')), length(d.text)) AS stop FROM merged m JOIN documents d USING (doc_id)),
+reach AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM wide),
+named AS (SELECT *, sum(CASE WHEN start > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS mark_no FROM reach),
+marks AS (SELECT doc_id, any_value(text) AS text, mark_no, min(start) AS start, max(stop) AS stop FROM named GROUP BY doc_id, mark_no),
+gaps AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS past FROM marks),
+pieces AS (SELECT doc_id, past AS place, substr(text, (past + 1)::INT, (start - past)::INT) AS text, false AS mark FROM gaps
+           UNION ALL SELECT doc_id, start, substr(text, (start + 1)::INT, (stop - start)::INT), true FROM gaps
+           UNION ALL SELECT t.doc_id, coalesce(g.stop, 0), substr(d.text, (coalesce(g.stop, 0) + 1)::INT), false FROM top t JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, max(stop) AS stop FROM gaps GROUP BY doc_id) g USING (doc_id))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS n, text, mark FROM pieces WHERE text <> ''""",
     "phrase_rerank": f"""{_and(PAIR)}, {_GAPS}, ranked AS (SELECT e.doc_id, e.score, abs(gap - {len(PAIR[0]) + 1})::BIGINT AS difference FROM every e LEFT JOIN gaps USING (segment, doc_id))
 SELECT doc_id, score * CASE WHEN difference <= 2 THEN 100 WHEN difference <= 5 THEN 50 WHEN difference <= 10 THEN 25 WHEN difference <= 20 THEN 10 ELSE 1 END AS score, difference FROM ranked""",
     "proximity_min": f"WITH {_tokens()}, {_GAPS} SELECT doc_id, gap FROM gaps",

@@ -12,16 +12,13 @@ from quillspark.queries.retrieval import documents
 from quillspark.sources import readers
 from quillspark.storage import new_path
 
-IDS = [3, 7, 11, 50, 199]
-
 #: Literal JSON with what the tables' own lacks.
 NESTED = '{"name": "a b", "tags": ["x", "y", {"deep": [1, 2.5, null]}], "on": true, "none": null, "sub": {"one": {"two": "z"}}}'
 
 
 def doc_lookup(spark, sf_dir):
     """First row of an id wins, also where ids repeat."""
-    rows = documents(spark, sf_dir).where(F.col("doc_id").isin(*IDS)).select("doc_id", "source", "text")
-    return docstore.first_rows(rows, "doc_id", ["source", "text"])
+    return docstore.first_rows(documents(spark, sf_dir).select("doc_id", "source", "text"), "doc_id", ["source", "text"])
 
 
 def filemap_resolve(spark, sf_dir):
@@ -265,7 +262,7 @@ _SNAP = "SELECT key, kind, s, n FROM (SELECT * FROM versions WHERE begin_ts <= {
 _LATEST = "SELECT key, kind, s, n FROM (SELECT * FROM {of} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, op DESC) = 1) WHERE kind <> 'D'"
 
 ORACLES = {
-    "doc_lookup": f"SELECT doc_id, arg_min(source, (source, text)) AS source, arg_min(text, (source, text)) AS text FROM documents WHERE doc_id IN ({', '.join(map(str, IDS))}) GROUP BY doc_id",
+    "doc_lookup": "SELECT doc_id, arg_min(source, (source, text)) AS source, arg_min(text, (source, text)) AS text FROM documents GROUP BY doc_id",
     "filemap_resolve": "SELECT d.doc_id, coalesce(p.name, 'File not found') AS name FROM documents d LEFT JOIN (SELECT page_id, min(url) AS name FROM pages GROUP BY page_id) p ON p.page_id = d.doc_id",
     "names_dedupe": f"WITH {_REGISTRY} SELECT min(segment) AS segment, path FROM reg GROUP BY path",
     "names_repeated": f"WITH {_REGISTRY} SELECT path, count(*) AS n, string_agg(DISTINCT segment, ',' ORDER BY segment) AS segments FROM reg GROUP BY path HAVING count(*) > 1",

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: A batch of listed files takes at most so many of them, and stops once it has so many bytes.
+#: A batch of listed files has at most so many of them, and ends once it has so many bytes; the rest makes further batches.
 MOST_FILES, MOST_BYTES = 300_000, 200_000_000
 
-#: Fetched pages of as many bytes or more are left out.
+#: Fetched pages of as many bytes or more are left out, which is what the filter is for.
 PAGE_BYTES = 100_000_000
 
 #: The document id of every word of a fuzzing input.
@@ -19,21 +18,31 @@ WAL = "timestamp long, ops array<struct<op:string,key:string,kind:string,s:strin
 
 
 def listed_files(spark: SparkSession, listing: str, root: str, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(doc_id, name, text) of the files under root that a listing names, one relative path a line; ids count from 1.
+    """(doc_id, batch, name, text) of all files under root that a listing names, one relative path a line; ids count from 1.
 
-    Files are taken in the listing's order till the count or the bytes are
-    reached: the one with which they are still comes in.
+    Files are taken in the listing's order into batches, counted from 0: one ends
+    with the file by which it has most_bytes or most_files. Names that are no file
+    are left out. The listing is one file, whose names the driver goes through.
     """
-    lines = [r[0].strip() for r in spark.read.text(listing, wholetext=True).select(F.explode(F.split("value", "\n"))).collect()]  # bounded below
-    names = [x for x in lines if x][:most_files]
-    if not names:
-        return spark.createDataFrame([], "doc_id long, name string, text string")
-    wanted = spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "doc_id long, name string")
-    files = spark.read.format("binaryFile").load([f"{root}/{n}" for n in names])
-    named = files.select(F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})").alias("name"), "length", F.decode("content", "UTF-8").alias("text"))
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = wanted.join(named.select("name", "length"), "name").withColumn("_before", F.coalesce(F.sum("length").over(before), F.lit(0)))  # at most MOST_FILES rows
-    return sizes.where(F.col("_before") < most_bytes).select("doc_id", "name").join(named.select("name", "text"), "name").select("doc_id", "name", "text")
+    lines = [r[0].strip() for r in spark.read.text(listing, wholetext=True).select(F.explode(F.split("value", "\n"))).collect()]
+    names = [x for x in lines if x]
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows, batch, count, total = [], 0, 0, 0
+    for i, name in enumerate(names, 1):
+        path = at(f"{root}/{name}")
+        if not files.exists(path):
+            continue
+        rows.append((i, batch, name))
+        count, total = count + 1, total + files.getFileStatus(path).getLen()
+        if count >= most_files or total >= most_bytes:
+            batch, count, total = batch + 1, 0, 0
+    if not rows:
+        return spark.createDataFrame([], "doc_id long, batch int, name string, text string")
+    wanted = spark.createDataFrame(rows, "doc_id long, batch int, name string")
+    held = spark.read.format("binaryFile").load([f"{root}/{n}" for n in dict.fromkeys(n for _, _, n in rows)])
+    named = held.select(F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})").alias("name"), F.decode("content", "UTF-8").alias("text"))
+    return wanted.join(named, "name").select("doc_id", "batch", "name", "text")
 
 
 def framed_documents(lines: DataFrame, value_col: str = "value") -> DataFrame:
@@ -79,6 +88,23 @@ def write_wal(wal: DataFrame, path: str) -> None:
     wal.select("timestamp", "ops").write.mode("append").json(path)
 
 
-def read_sqlite(spark: SparkSession, url: str, table: str = "en", **options: str) -> DataFrame:
-    """(rowid, url, body_text) of a table behind JDBC, for a copy into the document store."""
-    return spark.read.format("jdbc").option("url", url).option("query", f"SELECT rowid, url, body_text FROM {table}").options(**options).load()
+def read_sqlite(spark: SparkSession, path: str, table: str = "en", rows: int = 100_000) -> DataFrame:
+    """(rowid, url, body_text) of a table of a SQLite file that all executors can open, for a copy into the document store; one range of rowids a task."""
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        low, high = db.execute(f'SELECT coalesce(min(rowid), 1), coalesce(max(rowid), 0) FROM "{table}"').fetchone()
+
+    def read(batches):
+        import sqlite3
+
+        import pyarrow as pa
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            for batch in batches:
+                for first in batch.column(0).to_pylist():
+                    found = db.execute(f'SELECT rowid, url, body_text FROM "{table}" WHERE rowid >= ? AND rowid < ?', (first, first + rows)).fetchall()
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["rowid", "url", "body_text"])
+
+    parts = max(1, -(-(high + 1 - low) // rows))
+    return spark.range(low, high + 1, rows, parts).mapInArrow(read, "rowid long, url string, body_text string")
