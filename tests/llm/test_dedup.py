@@ -265,8 +265,9 @@ def brute_spans(rows, least):
     return sorted({(i, split[k][s[0]][0], split[k][s[1] - 1][1], s[1] - s[0], s[2]) for k, i, s in out})
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_repeated_passages_are_those_of_brute_force(spark, broadcast):
+@pytest.mark.parametrize(("broadcast", "heavy"), [(True, 1e-5), (False, 1e-5), (True, 0.002), (True, 0.02), (False, 0.02), (True, 2.0)])
+def test_repeated_passages_are_those_of_brute_force(spark, broadcast, heavy, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
     rng = random.Random(6)
     shared = [prose(rng, n) for n in (6, 7, 11, 20, 40)]
     rows = []
@@ -300,3 +301,53 @@ def test_each_shared_passage_has_its_own_origin(spark):
         spans = {(r.doc_id, r.words, r.first_id, texts[r.doc_id][r.start_char : r.end_char]) for r in found}
         assert {(i, 30, 1, p) for i in (1, 10, 20, 30)} | {(2, 25, 2, q), (30, 25, 2, q)} <= spans
         assert {(i, k, 10) for i in (10, 20) for k in (45,)} == {(i, k, f) for i, k, f, _ in spans if i in (10, 20) and f == 10} and len(found) == 10
+
+
+@pytest.mark.parametrize("heavy", [1e-5, 0.01, 0.05, 2.0])
+def test_spans_are_the_same_whatever_is_heavy(spark, heavy, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    rng = random.Random(12)
+    shared = [prose(rng, n) for n in (7, 9, 30)]
+    rows = [(i, " ".join([prose(rng, rng.randrange(9)), *rng.choices(shared, (1, 9, 3), k=2), prose(rng, rng.randrange(9))])) for i in range(60)]
+    rows += [rows[3], rows[3], (61, rows[3][1]), (None, shared[0])]
+    df = table(spark, rows).repartition(3)
+    found = sorted(tuple(r) for r in substring_dedup.repeated_spans(df, block=3, least=6, merged=False).collect())
+    # spans end where the rows that share a stretch, or the first of them, change
+    known = [(i, t) for i, t in rows if i is not None]
+    places = defaultdict(list)
+    for k, (_, t) in enumerate(known):
+        w = t.split()
+        for j in range(len(w) - 5):
+            places[" ".join(w[j : j + 6])].append((k, j))
+    expected = set()
+    for k, (i, t) in enumerate(known):
+        w = t.split()
+        starts = [sum(len(x) + 1 for x in w[:j]) + (len(t) - len(t.lstrip())) for j in range(len(w))]
+        assert all(t[a : a + len(x)] == x for a, x in zip(starts, w, strict=True)) or "  " in t
+        span = None
+        for j in range(len(w) - 5):
+            at = places[" ".join(w[j : j + 6])]
+            if len(at) < 2:
+                span = None
+                continue
+            of = (min(known[p][0] for p, _ in at), frozenset(p for p, _ in at))
+            if span and span[2] == of:
+                span[1] = j + 6
+            else:
+                span = [j, j + 6, of]
+                expected.add((i, k, id(span)))
+                places.setdefault(("spans", k), []).append(span)
+    count = sum(len(places.get(("spans", k), [])) for k in range(len(known)) if (known[k] not in known[:k]))
+    assert len(found) == count
+    assert sorted((i, n, f) for i, _, _, n, f in found) == sorted((known[k][0], s[1] - s[0], s[2][0]) for k in range(len(known)) if known[k] not in known[:k] for s in places.get(("spans", k), []))
+
+
+def test_collisions_of_a_power_of_two_are_no_repeats(spark):
+    """Words whose hashes modulo 2^64 are the same, whatever the base."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    rng = random.Random(1)
+    before, after = prose(rng, 2), prose(rng, 2)
+    assert substring_dedup.repeated_spans(table(spark, [(1, f"{before} {one} {after}"), (2, f"{before} {two} {after}")]), block=3, least=5).count() == 0
