@@ -163,7 +163,7 @@ def _commit(spark: SparkSession, path: str, number: int, segments: list[Segment]
 def _folder(spark: SparkSession, path: str, table: str, s: Segment) -> str:
     """Where a segment's rows of a table are."""
     name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(s.name)
-    return f"{path}/{table}/segment={name}/version={s.version}"
+    return f"{path}/{table}/version={s.version}/segment={name}"
 
 
 def _rows(spark: SparkSession, path: str, table: str, schema: str, segments: list[Segment]) -> DataFrame:
@@ -186,18 +186,18 @@ def _write(postings: DataFrame, path: str) -> list[Segment]:
     """Write the postings and the terms of some segments, which no catalogue names yet."""
     spark = postings.sparkSession
     version = uuid.uuid4().hex
-    held = postings.withColumn("version", F.lit(version))
-    dealt = held.repartition("segment", F.pmod(F.hash("term"), F.lit(SEGMENT_FILES)))
-    dealt.sortWithinPartitions("segment", "term", "doc_id").write.mode("append").partitionBy("segment", "version").parquet(f"{path}/postings")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # said outright, so that small segments too are sorted in as many tasks
+    dealt = postings.repartition(parts, "segment", F.pmod(F.hash("term"), F.lit(SEGMENT_FILES)))
+    dealt.sortWithinPartitions("segment", "term", "doc_id").write.partitionBy("segment").parquet(f"{path}/postings/version={version}")
     at, files = _files(spark, path)
-    folders = files.globStatus(at(f"{path}/postings/segment=*/version={version}")) or []
+    folders = files.globStatus(at(f"{path}/postings/version={version}/segment=*")) or []
     unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    names = [unescape(f.getPath().getParent().getName().removeprefix("segment=")) for f in folders]
+    names = [unescape(f.getPath().getName().removeprefix("segment=")) for f in folders]
     if not names:
         return []
     fresh = [Segment(n, version, 0) for n in names]
     read = _rows(spark, path, "postings", POSTINGS, fresh)
-    numbered_terms(vocabulary(read)).withColumn("version", F.lit(version)).sortWithinPartitions("segment", "term").write.mode("append").partitionBy("segment", "version").parquet(f"{path}/terms")
+    numbered_terms(vocabulary(read)).sortWithinPartitions("segment", "term").write.partitionBy("segment").parquet(f"{path}/terms/version={version}")
     sizes = dict(_opened(spark, path, fresh).terms.groupBy("segment").agg(F.sum("cf")).collect())  # one row a segment
     return [Segment(n, version, int(sizes[n])) for n in names]
 
