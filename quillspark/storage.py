@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be sent whole to every executor.
+#: Rows, and bytes in their strings, of a table that may be sent whole to every executor.
 BROADCAST_ROWS = 1 << 20
+BROADCAST_BYTES = 1 << 26
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,9 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows and bytes in strings; else left to a shuffled join."""
+    wide = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    count, total = df.agg(F.count(F.lit(1)), sum(wide, F.lit(0).cast("long"))).first()
+    return F.broadcast(df) if count <= rows and total <= most_bytes else df
 
 
 #: Rows that a step of a query may hold on the driver to narrow the next step's scan.

@@ -54,7 +54,7 @@ def test_query_gives_what_its_sql_gives(spark, duck, name):
 
 def test_every_query_without_sql_runs(spark):
     for name in set(catalog.QUERIES) - set(catalog.ORACLES):
-        assert catalog.QUERIES[name](spark, str(DATA)).count() >= 0
+        assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
 def test_entry_imports_without_the_optional_part(tmp_path):
