@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.kernels import U64, ranges
-from quillspark.llm.runtime import small, written
+from quillspark.llm.runtime import free_name, small, written
 
 #: Filters are built at most this full.
 LOAD = 0.75
@@ -164,7 +164,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     number, is_duplicate whether another id is kept. Empty texts equal each
     other. A null text equals nothing: its row keeps itself. Null ids come after
     all others; a group of null ids only has a null keep_id and no duplicate.
-    Repeated rows count as copies. Other columns are ignored. An empty table
+    Repeated rows count as copies. An id column with the name of a result's gets "_"
+    after it. Other columns are ignored. An empty table
     gives no rows.
     """
     single, several = groups(docs, id_col, text_col, fingerprint)
@@ -178,7 +179,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         both = rows.drop("_text").join(small(single), "_fp", "left").select(found)
     keep = F.when(F.col("_copies").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return both.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_copies", F.lit(1)).cast("long").alias("copies"), F.coalesce(~F.col("_id").eqNullSafe(keep), F.lit(False)).alias("is_duplicate"))
+    return both.select(F.col("_id").alias(free_name(id_col, "keep_id", "copies", "is_duplicate")), keep.alias("keep_id"), F.coalesce("_copies", F.lit(1)).cast("long").alias("copies"), F.coalesce(~F.col("_id").eqNullSafe(keep), F.lit(False)).alias("is_duplicate"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

@@ -1,12 +1,12 @@
 """SentencePiece encoding with distinct sampled segmentations, and decoding.
 
 The segmentations of a text are the paths of a lattice of pieces. A path's
-probability is the product of its pieces' weights, normalised. The search tree
+probability is the product of its pieces' weights, normalised. The tree of choices
 fixes one unit of the text after another (no piece reaches over a unit's
 border), and each node of it stands for all paths below. Its key is the greatest
 of their Gumbel-perturbed log-probabilities, drawn from the top down: the node's
 mass is known from a backward pass over the lattice, and children are drawn
-under the condition that the greatest equals their parent's. An A-star search
+under the condition that the greatest equals their parent's. An A-star walk
 that always opens the node with the greatest key emits the k best perturbed
 paths, which are k samples without replacement. The next key gives the threshold
 from which inclusion scores follow.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.kernels import U64, Chunk, HashTable, RangeHash, ShortHash, chunks, mix64, ranges, row_of, to_list_array, uniform
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
+from quillspark.llm.runtime import free_name
 
 #: The vocabulary file; any SentencePiece model may be named instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -581,8 +582,8 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
     the probability, which double precision can't tell from none; a null or empty text has one row of no
     ids, log_prob 0 and inclusion 1 (a null one as null ids, decodes null).
     Draws depend on seed and id alone, so repeated rows give equal rows, and
-    null ids share their draws. Other columns are ignored. An empty table gives
-    no rows. A text with U+2581 decodes to spaces there, decodes false.
+    null ids share their draws. An id column with the name of a result's gets "_" after it. Other
+    columns are ignored. An empty table gives no rows. A text with U+2581 decodes to spaces there, decodes false.
     """
     import pyarrow.compute  # noqa: F401
 
@@ -632,7 +633,7 @@ def sampled_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SA
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_seed"), F.col(text_col).alias("_text"))
     out = rows.mapInArrow(run, f"_id {kind}, rank int, ids array<int>, log_prob double, key double, inclusion double, decodes boolean")
-    return out.withColumnRenamed("_id", id_col) if id_col != "_id" else out
+    return out.withColumnRenamed("_id", free_name(id_col, "rank", "ids", "log_prob", "key", "inclusion", "decodes"))
 
 
 def decoder(model: str = MODEL) -> Column:

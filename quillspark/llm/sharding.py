@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm.kernels import U64, mix64
+from quillspark.llm.runtime import free_name
 
 
 def ring(shards: int, points: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +64,8 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", shards: int = 64, po
     that it passed. No shard has more than ceil((1 + slack) * rows / shards)
     rows. Keys are ordered by (hash, key); repeated keys each take a place of
     their own, so one key may lie on two shards where a bound falls between.
-    A null key has a place as any other. Other columns are ignored. An empty
+    A null key has a place as any other. A key column with the name of a result's
+    gets "_" after it. Other columns are ignored. An empty
     table gives no rows.
     """
     places, owner = ring(shards, points)
@@ -83,7 +85,7 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", shards: int = 64, po
     table = docs.sparkSession.createDataFrame(rows, "_at int, _first long, _last long, shard int, steps int, _home int")
     ranked = located.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_hash", "_key")))
     placed = ranked.join(F.broadcast(table), (F.col("_arc") == F.col("_at")) & F.col("_rank").between(F.col("_first"), F.col("_last")))  # some rows a virtual node
-    return placed.select(F.col("_key").alias(key_col), F.col("_home").alias("home_shard"), "shard", "steps")
+    return placed.select(F.col("_key").alias(free_name(key_col, "home_shard", "shard", "steps")), F.col("_home").alias("home_shard"), "shard", "steps")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.kernels import U64, Chunk, RangeHash, ShortHash, chunks, fold, mix64, ranges, row_of, runs
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
-from quillspark.llm.runtime import small, written
+from quillspark.llm.runtime import free_name, small, written
 
 RADIUS = 23
 
@@ -473,15 +473,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group_id is its smallest id, members its rows, is_duplicate whether another
     id stays for it. Repeated rows count as members. A null or wordless text,
     and a row with a null id, is not compared: it is a group of its own. Rows
-    that share an id are linked with each other. Ids are integers. Other columns
-    are ignored. An empty table gives no rows.
+    that share an id are linked with each other. Ids are integers; an id column with
+    the name of a result's gets "_" after it. Other columns are ignored. An empty table gives no rows.
     """
     rows, table = _grouped(docs, id_col, text_col, radius, block, edges)
     # texts that are not compared are in no group, whatever their hash
     found = rows.where("high IS NOT NULL").join(small(table), "text_hash").select("id", "group_id", "members")
     found = found.unionByName(rows.where("high IS NULL").select("id", F.lit(None).cast("long").alias("group_id"), F.lit(None).cast("long").alias("members")))
     group = F.coalesce("group_id", "id")
-    return found.select(F.col("id").alias(id_col), group.alias("group_id"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce(F.col("id") != group, F.lit(False)).alias("is_duplicate"))
+    return found.select(F.col("id").alias(free_name(id_col, "group_id", "members", "is_duplicate")), group.alias("group_id"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce(F.col("id") != group, F.lit(False)).alias("is_duplicate"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK, edges: int = EDGES) -> DataFrame:

@@ -67,7 +67,7 @@ def test_every_match_fulfils_its_trigram_query(pattern):
     for t in secrets.needed(query):
         mark[secrets.code(t)] = True
     rows = set(secrets.candidates(query, secrets.postings(chunk, mark), chunk.rows).tolist())
-    assert {k for k, s in enumerate(samples) if re.search(pattern, s)} <= rows
+    assert {k for k, s in enumerate(samples) if re.findall(pattern, s)} <= rows
 
 
 def test_rules_are_matched_on_characters(spark):
@@ -224,7 +224,7 @@ def test_matches_are_those_of_brute_force(spark):
         found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text)]
         cells = []
         for k, (at, end, w) in enumerate(found):
-            opening = re.search(r"(^|[\n.!?:;\"'(\[{|*-])[ \t\r\f\v]*$", text[:at]) is not None
+            opening = re.findall(r"(^|[\n.!?:;\"'(\[{|*-])[ \t\r\f\v]*$", text[:at]) != []
             numeric = w[0].isdigit() or w.lower() in numbers
             named = w[0].isupper() and not numeric
             unit = k > 0 and cells[-1][0] == "#" and w.lower() in units and not numeric
