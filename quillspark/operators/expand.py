@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+import struct
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,9 @@ from quillspark.functions import text as T
 from quillspark.operators.index import Index
 from quillspark.storage import held, local_rows
 
+#: Stubs that a session keeps of an index, and terms that it looks at for a query, on the driver; beyond, plans do it.
+STUBS, SCANNED = 1 << 20, 20_000
+
 #: Keys of at least this score count for positions, besides exact ones.
 POSITION_SCORE = 20
 
@@ -88,6 +94,101 @@ def expanded_terms(index: Index, queries: DataFrame, window: str = "stub") -> Da
     return kept.select("segment", "qpos", "q", F.col("k.term").alias("term"), F.col("k.score").alias("score"))
 
 
+# the same for few rows, on the driver ---
+
+
+def _key(term: str) -> int:
+    return sum((ord(x) - 64) * 27 ** (T.KEY_LETTERS - i) for i, x in enumerate(term[: T.KEY_LETTERS]))
+
+
+def _score(query: str, key: str) -> float:
+    common = next((i for i, (a, b) in enumerate(zip(query, key, strict=False)) if a != b), min(len(query), len(key)))
+    damp = struct.unpack("f", struct.pack("f", 7.0 / (abs(len(query) - len(key)) + 7)))[0]
+    return common * damp * (15 if query == key else 8 if common == len(query) else 1)
+
+
+def _accepted(scored: list[tuple[int, str, float]]) -> list[tuple[str, float]]:
+    """accepted_keys() of (term_ord, term, score)."""
+    n, total, kept = 0, 0, []
+    for _, term, score in sorted(scored):
+        cutoff = T.FIRST_CUTOFF if n < T.FIRST_KEYS else float(math.floor((total + n) / n)) * T.CUTOFF_FACTOR
+        if score >= cutoff:
+            n, total = n + 1, int(total + score)
+            kept.append((term, score))
+    return kept
+
+
+_STUBS: dict[tuple, dict[str, list[tuple[int, int]]] | None] = {}
+
+
+def _stubs(index: Index) -> dict[str, list[tuple[int, int]]] | None:
+    """(k27, term_ord) of every tenth term of each segment of a folder's index, kept for the session; None if they are more than STUBS."""
+    at = (index.terms.sparkSession.sparkContext.applicationId, index.path, index.number)
+    if at not in _STUBS:
+        while len(_STUBS) >= 8:
+            del _STUBS[next(iter(_STUBS))]
+        rows = index.terms.where("is_stub").select("segment", "k27", "term_ord").limit(STUBS + 1).collect()
+        found: dict[str, list[tuple[int, int]]] = {}
+        for segment, k27, place in rows:
+            found.setdefault(segment, []).append((k27, place))
+        _STUBS[at] = None if len(rows) > STUBS else {k: sorted(v, key=lambda x: x[1]) for k, v in found.items()}
+    return _STUBS[at]
+
+
+def _bounds(stubs: dict[str, list[tuple[int, int]]], terms: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """window_bounds(): (segment, qpos, first_ord, first_key, end_key)."""
+    out = []
+    for segment, held in stubs.items():
+        keys = [k for k, _ in held]
+        for i, term in enumerate(terms):
+            low, high = _key(term) - T.KEY_STEP, _key(term) + T.KEY_STEP
+            under, over = bisect.bisect_left(keys, low), bisect.bisect_right(keys, high)
+            if under < len(keys):  # a stub that reaches the lower bound
+                first = max(under - 1, 0)
+                out.append((segment, i, held[first][1], keys[first], keys[min(over, len(keys) - 1)]))
+    return out
+
+
+def answered_terms(index: Index, terms: list[str], window: str = "stub") -> list[tuple] | None:
+    """expanded_terms() as rows, found by one scan of the terms in question; None where those are more than SCANNED or the index is no folder's."""
+    if window not in ("stub", "prefix"):
+        raise ValueError(f"no such window: {window}")
+    if not terms:
+        raise ValueError("a query needs at least one term")
+    stubs = _stubs(index) if index.number is not None else None
+    if stubs is None:
+        return None
+    if window == "prefix":
+        some = index.terms.where(_any([F.col("term").startswith(t) for t in terms]))
+        wanted = [(segment, i, None, None, None) for segment in stubs for i in range(len(terms))]
+    else:
+        wanted = _bounds(stubs, terms)
+        some = _narrowed(index.terms, "k27", [(s, a, b) for s, _, _, a, b in wanted])
+    rows = some.select("segment", "term_ord", "term", "k27").limit(SCANNED + 1).collect() if wanted else []
+    if len(rows) > SCANNED:
+        return None
+    by: dict[str, list[tuple[int, str, int]]] = {}
+    for segment, place, term, k27 in rows:
+        by.setdefault(segment, []).append((place, term, k27))
+    out = []
+    for segment, i, first, _, end in wanted:
+        scored = []
+        for place, term, k27 in sorted(by.get(segment, [])):
+            if window == "prefix":
+                if not term.startswith(terms[i]):
+                    continue
+            elif place < first or k27 > end:
+                continue
+            scored.append((place, term, _score(terms[i], term)))
+            if k27 == end:
+                break
+        out += [(segment, i, terms[i], term, score) for term, score in _accepted([x for x in scored if x[2] >= T.FIRST_CUTOFF])]
+    return out
+
+
+# scores ---
+
+
 def hit_scores(index: Index, keys: DataFrame, rows: list | None = None) -> DataFrame:
     """(segment, qpos, doc_id, score) of every posting of every accepted key. With the keys' rows, only their ranges of terms are read."""
     postings = index.postings

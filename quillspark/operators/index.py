@@ -91,21 +91,22 @@ def tier(tiers: DataFrame, term: str, number: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """The tables of some segments; postings have the places of positions too where they were built together."""
+    """The tables of some segments; for those of a folder's catalogue, the folder and the catalogue's number."""
 
     terms: DataFrame
     postings: DataFrame
     positions: DataFrame
     path: str | None = None
+    number: int | None = None
 
     def of(self, *segments: str) -> Index:
         on = F.col("segment").isin(*segments)
-        return Index(self.terms.where(on), self.postings.where(on), self.positions.where(on), self.path)
+        return Index(self.terms.where(on), self.postings.where(on), self.positions.where(on))
 
 
-def _indexed(postings: DataFrame, path: str | None = None, terms: DataFrame | None = None) -> Index:
+def _indexed(postings: DataFrame, path: str | None = None, terms: DataFrame | None = None, number: int | None = None) -> Index:
     plain = postings.drop("places")
-    return Index(numbered_terms(vocabulary(plain)) if terms is None else terms, plain, _places(postings), path)
+    return Index(numbered_terms(vocabulary(plain)) if terms is None else terms, plain, _places(postings), path, number)
 
 
 def build(docs: DataFrame, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True) -> Index:
@@ -173,13 +174,14 @@ def _rows(spark: SparkSession, path: str, table: str, schema: str, segments: lis
     return reader.parquet(*[_folder(spark, path, table, s) for s in segments]).drop("version")
 
 
-def _opened(spark: SparkSession, path: str, segments: list[Segment]) -> Index:
-    return _indexed(_rows(spark, path, "postings", POSTINGS, segments), path, _rows(spark, path, "terms", TERMS, segments))
+def _opened(spark: SparkSession, path: str, segments: list[Segment], number: int | None = None) -> Index:
+    return _indexed(_rows(spark, path, "postings", POSTINGS, segments), path, _rows(spark, path, "terms", TERMS, segments), number)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """The index of a folder, as its last catalogue has it."""
-    return _opened(spark, path, catalogue(spark, path)[1])
+    number, segments = catalogue(spark, path)
+    return _opened(spark, path, segments, number)
 
 
 def _write(postings: DataFrame, path: str) -> list[Segment]:
@@ -275,7 +277,7 @@ def compact(spark: SparkSession, path: str, most: int = MOST_SEGMENTS, most_size
         _commit(spark, path, number, there)
         number += 1
         _remove(spark, path, some)
-    return _opened(spark, path, there)
+    return _opened(spark, path, there, number)
 
 
 def inconsistencies(index: Index) -> DataFrame:

@@ -57,6 +57,17 @@ def test_all_is_within_any_and_fallback(planted):
         retrieve(held, ["A"], "xor")
 
 
+def test_terms_found_on_the_driver_are_those_of_the_plan(spark, planted):
+    docs, _ = planted
+    held = index.write_index(docs.withColumn("seg", F.col("doc_id") % 3), new_path(spark, "driver"), "seg")
+    vocabulary = [r.term for r in held.terms.select("term").distinct().limit(40).collect()]
+    for window in ("stub", "prefix"):
+        for terms in (["TESTWORD", "FDDSVC"], ["A"], ["ZZZZZZ", "AAA"], ["TES", "YEST", "Q"], [t[: 3 + k % 4] for k, t in enumerate(vocabulary)]):
+            plan = expand.expanded_terms(held, expand.query_terms(spark, terms), window)
+            assert sorted(expand.answered_terms(held, terms, window)) == sorted(tuple(r) for r in plan.collect())
+    assert expand.answered_terms(held.of("0"), ["A"]) is None
+
+
 def test_score_merges(spark):
     scores = spark.createDataFrame([("s", 0, d, 1) for d in (2, 10, 11)] + [("s", 1, d, 1) for d in (0, 1, 2, 9, 10, 11)], "segment string, qpos int, doc_id long, score long")
     assert {r.doc_id: r.score for r in match.match_any(scores).collect()} == {0: 1, 1: 1, 2: 2, 9: 1, 10: 2, 11: 2}
