@@ -162,6 +162,16 @@ def test_shards_are_those_of_a_key_by_key_walk(spark):
     assert max(Counter(e[2] for e in expected).values()) <= bound and sum(e[3] > 0 for e in expected) > 10
 
 
+def test_a_key_with_a_third_of_all_rows_is_split(spark):
+    keys = [7] * 400 + [9] * 90 + list(range(100, 600))
+    df = table(spark, [(k, "t") for k in keys]).repartition(5)
+    hashes = [(r[1], r[0]) for r in df.select("doc_id", F.xxhash64("doc_id").bitwiseAND(2**63 - 1)).collect()]
+    for salts in (1, 8):
+        expected, bound = brute_ring(hashes, 7, 5, 0.02)
+        found = [tuple(r) for r in sharding.assign_shards(df, shards=7, points=5, slack=0.02, salts=salts).collect()]
+        assert sorted(found) == sorted(expected) and max(Counter(f[2] for f in found).values()) <= bound
+
+
 def test_adding_a_shard_moves_few_keys(spark):
     df = table(spark, [(i, "t") for i in range(3000)])
     at = {n: {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=n, slack=0.3).collect()} for n in (10, 11)}
