@@ -28,7 +28,7 @@ from quillspark.llm.kernels import U64, Chunk, HashTable, RangeHash, ShortHash,
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
 from quillspark.llm.runtime import free_name
 
-#: The vocabulary file; any SentencePiece model may be named instead.
+#: The vocabulary file; any SentencePiece model that takes texts as they are may be named instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 #: Segmentations a text.

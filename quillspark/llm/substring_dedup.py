@@ -98,8 +98,23 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
-def _probes(block: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def even_keys(spark: SparkSession, each: int) -> np.ndarray:
+    """Whole numbers of which a shuffle by their hash brings `each` to every partition."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    some, taken = 4 * each * parts + 64, {}
+    while sum(map(len, taken.values())) < each * parts:
+        rows = spark.range(0, some, 1, 1).select(F.col("id").cast("int").alias("key")).select("key", F.pmod(F.hash("key"), F.lit(parts)).alias("part")).collect()  # some a partition
+        taken = {}
+        for key, part in rows:
+            if len(taken.setdefault(part, [])) < each:
+                taken[part].append(key)
+        some *= 2
+    return np.array([keys[k] for k in range(each) for _, keys in sorted(taken.items())], dtype=np.int64)
+
+
+def _probes(block: int, keys_of: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """By hash range: blocks that repeat here, other blocks, and other windows."""
+    buckets = len(keys_of)
 
     def flush(every: list[np.ndarray], aligned: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.sort(np.concatenate(every))
@@ -115,7 +130,7 @@ def _probes(block: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for k in np.flatnonzero(np.diff(cut)):
             part = slice(cut[k], cut[k + 1])
             x, b, many = keys[part], is_block[part], count[part] > 1
-            rows.append((int(k), pack(x[b & many]), pack(x[b & ~many]), pack(x[~b])))
+            rows.append((int(keys_of[k]), pack(x[b & many]), pack(x[b & ~many]), pack(x[~b])))
         cells = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cells[1:])], names=["bucket", "hot", "blocks", "windows"])
 
@@ -157,8 +172,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 def anchors(docs: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(anchor): short hashes of the blocks that occur more than once."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col(text_col)).mapInArrow(_probes(block, buckets), "bucket int, hot binary, blocks binary, windows binary")
+    sent = docs.select(F.col(text_col)).mapInArrow(_probes(block, even_keys(docs.sparkSession, 2)), "bucket int, hot binary, blocks binary, windows binary")
     return sent.groupBy("bucket").applyInArrow(_repeated, "anchor long")
 
 
@@ -302,8 +316,9 @@ def _runs(same_text: np.ndarray, word: np.ndarray, origin: np.ndarray, partners:
     return a, np.append(a[1:], len(word)) - 1
 
 
-def _stretches(found: _Anchors, buckets: int, heavy, merged: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every stretch sent by its first anchor, or by itself where that one is heavy; runs of heavy ones as the spans that they are, in buckets below 0."""
+def _stretches(found: _Anchors, keys_of: np.ndarray, heavy, merged: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every stretch sent by its first anchor, or by itself where that one is heavy; runs of heavy ones as the spans that they are, under the last third of the keys."""
+    buckets = len(keys_of) * 2 // 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = heavy.value
@@ -322,7 +337,7 @@ def _stretches(found: _Anchors, buckets: int, heavy, merged: bool) -> Callable[[
                 spans = ids[on[a]], texts[on[a]], word[on[a]], word[on[z]] + found.least, start[on[a]], stop[on[z]], known.origin[at[a]], known.partners[at[a]]
                 cells = [b"", *(x.astype("<i8").tobytes() for x in spans[:6]), np.concatenate(spans[6:]).astype("<i8").tobytes()]
                 order = [cells[7], *cells[1:7]]
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(c.lo + r[0]) % buckets], pa.int32()), *(pa.array([x], pa.binary()) for x in order)], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([keys_of[buckets + int(mix64(ids[:1].view(U64))[0]) % (len(keys_of) - buckets)]], pa.int32()), *(pa.array([x], pa.binary()) for x in order)], names=_NAMES)
             rest = np.flatnonzero(~np.isin(np.arange(len(s)), on, assume_unique=True)) if len(on) else np.arange(len(s))
             if not len(rest):
                 continue
@@ -334,13 +349,13 @@ def _stretches(found: _Anchors, buckets: int, heavy, merged: bool) -> Callable[[
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cut))
             packed = [[x[cut[k] : cut[k + 1]].tobytes() if i < 2 else planes(x[cut[k] : cut[k + 1]]) for k in used] for i, x in enumerate(cells)]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of[used], pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=_NAMES)
 
     return run
 
 
-def _agreeing(least: int, merged: bool) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Runs of neighbouring stretches that occur again, in the same rows unless merged, with the first document that has the run's first one."""
+def _agreeing(least: int, merged: bool, ready: frozenset[int]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Runs of neighbouring stretches that occur again, in the same rows unless merged, with the first document that has the run's first one; under the keys given are spans already."""
 
     def spans(columns: list[np.ndarray]) -> pa.Table:
         names = [x.split()[0] for x in _SPAN.split(", ")]
@@ -348,7 +363,7 @@ def _agreeing(least: int, merged: bool) -> Callable[[tuple, pa.Table], pa.Table]
         return pa.table({n: pa.array(x.astype(np.int64), pa.int64()).cast(k) for n, k, x in zip(names, kinds, columns, strict=True)})
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
+        if key[0].as_py() in ready:
             plain = [np.concatenate([np.frombuffer(x, "<i8") for x in table.column(n).to_pylist()]) for n in _NAMES[2:]]
             last = [np.frombuffer(x, "<i8").reshape(2, -1) for x in table.column("hash").to_pylist()]
             return spans([*plain, *np.concatenate(last, axis=1)])
@@ -411,7 +426,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     hot = written(anchors(rows, "text", block), "anchors")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     if hot.count() <= most_anchors:
         found = _Anchors(block, least, spark.sparkContext.broadcast(hot.toPandas()["anchor"].to_numpy().astype(np.int64).view(U64)))
     else:
@@ -420,8 +434,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = written(rows.join(lists, ["id", "text_hash"]).select("id", "text_hash", "text", "places"), "anchored")
         found = _Anchors(block, least, None)
     heavy = spark.sparkContext.broadcast(_heavy(rows, found))
-    sent = rows.mapInArrow(_stretches(found, buckets, heavy, merged), _STRETCH)
-    spans = sent.groupBy("bucket").applyInArrow(_agreeing(least, merged), _SPAN)
+    keys_of = even_keys(spark, 3)
+    sent = rows.mapInArrow(_stretches(found, keys_of, heavy, merged), _STRETCH)
+    spans = sent.groupBy("bucket").applyInArrow(_agreeing(least, merged, frozenset(keys_of[len(keys_of) * 2 // 3 :].tolist())), _SPAN)
     same = ["id", "text_hash"] if merged else ["id", "text_hash", "first_id", "partners"]
     own = Window.partitionBy(*same).orderBy("word", "past")
     reach = F.max("past").over(own.rowsBetween(Window.unboundedPreceding, -1))
