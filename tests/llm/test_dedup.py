@@ -23,7 +23,7 @@ def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(n))
 
 
-# exact ----------------------------------------------------------------------------------------------------------------
+# exact ---
 
 ODD = [(5, "same"), (3, "same"), (3, "same"), (9, None), (8, None), (7, ""), (6, ""), (None, "same"), (None, "alone"), (None, None), (4, "long " * 50_000), (2, "long " * 50_000), (1, "Same")]
 
@@ -80,7 +80,7 @@ def test_quotient_filters_merge_without_loss():
         assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == dict(total)
 
 
-# near -----------------------------------------------------------------------------------------------------------------
+# near ---
 
 
 def brute_groups(rows, radius):
@@ -233,7 +233,7 @@ def test_near_fingerprints_of_other_texts_are_no_link(spark):
     assert found == {1: 1, 3: 1, 5: 1, 2: 2, 4: 2, 6: 2}
 
 
-# passages -------------------------------------------------------------------------------------------------------------
+# passages ---
 
 
 def brute_spans(rows, least):
