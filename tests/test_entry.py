@@ -57,6 +57,16 @@ def test_every_query_without_sql_runs(spark):
         assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_entry_names_every_query(spark):
+    sys.path.insert(0, str(ROOT))
+    import __spark_entry__ as entry
+
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+    if (ROOT / "quillspark" / "llm").exists():
+        assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in entry.queries()} and "pipeline" in entry.queries()
+    assert entry.entry(spark).count() == 20
+
+
 def test_entry_imports_without_the_optional_part(tmp_path):
     shutil.copytree(ROOT / "quillspark", tmp_path / "quillspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
