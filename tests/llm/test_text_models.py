@@ -291,6 +291,42 @@ def test_samples_are_paths_with_their_probability(lattices, text):
         assert keys == sorted(keys, reverse=True)
 
 
+def test_what_is_drawn_does_not_depend_on_the_store_or_the_batch(lattices, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abeinortxé12") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 30))) for _ in range(120)]
+    seeds = mix64(np.arange(len(texts), dtype=np.uint64))
+
+    def rows(most, store):
+        out = []
+        for c in chunks(pa.array(texts), most):
+            b = sentencepiece_sampling.Batch(c, store)
+            s = sentencepiece_sampling.sample(b, c.rows, seeds[c.lo : c.hi], 3)
+            data, at = sentencepiece_sampling.decode_rows(s.ids, s.count, lattices)
+            ends = np.cumsum(s.count)
+            for k, (r, rank, e, m, lp) in enumerate(zip(s.row, s.rank, ends, s.count, s.log_p, strict=True)):
+                assert data[at[k] : at[k + 1]].tobytes().decode() == " " + texts[c.lo + r]
+                out.append((c.lo + int(r), int(rank), tuple(s.ids[e - m : e].tolist()), round(float(lp), 6)))
+        return sorted(out)
+
+    whole = rows(1 << 20, sentencepiece_sampling.Store(lattices))
+    monkeypatch.setattr(sentencepiece_sampling.Store, "BOUND", 900)
+    small = sentencepiece_sampling.Store(lattices)
+    assert rows(600, small) == whole and rows(1500, small) == whole
+
+
+def test_two_long_words_of_one_hash_modulo_a_power_of_two_keep_apart(lattices):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    texts = ["".join("ab"[b ^ k] for b in bits) for k in (0, 1)]
+    store = sentencepiece_sampling.Store(lattices)
+    for t in texts:
+        c = next(chunks(pa.array([t])))
+        s = sentencepiece_sampling.sample(sentencepiece_sampling.Batch(c, store), 1, np.ones(1, np.uint64), 2)
+        data, at = sentencepiece_sampling.decode_rows(s.ids, s.count, lattices)
+        assert [data[a:z].tobytes().decode() for a, z in zip(at, at[1:], strict=False)] == [" " + t] * 2
+
+
 def test_first_and_second_samples_follow_their_distribution(lattices):
     text, n = "the", 4000
     paths = all_paths(text, lattices)
