@@ -192,7 +192,7 @@ def test_each_fingerprint_goes_to_one_block_a_segment(spark):
     fps = spark.createDataFrame(rows, "id long, high long, low long")
     for block in (simhash.BLOCK, 3):
         tiles = simhash._tiles(fps, simhash.RADIUS, block)
-        assert (tiles.max() == 1) is (block > 3)
+        assert bool(tiles.max() == 1) is (block > 3)
         assert {(min(r), max(r)) for r in simhash.close_edges(fps, block=block).collect()} == {(i, 1000 + i) for i in range(40)}
 
 

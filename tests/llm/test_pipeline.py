@@ -33,18 +33,22 @@ def documents(rng):
 
 
 def contaminated(text):
-    def cells(t):
-        found = decontaminate.tokens(next(chunks(pa.array([t]))))
-        return list(zip(found.kind.tolist(), found.value.tolist(), found.code.tolist(), strict=True))
-
-    item, doc, size = cells(ITEM), cells(text), decontaminate.WINDOW
-    for a in range(len(doc) - size + 1):
-        for b in range(len(item) - size + 1):
-            x, y = doc[a : a + size], item[b : b + size]
-            if [c for _, _, c in x] == [c for _, _, c in y] and sum(k == 0 for k, _, _ in y) >= size / 2:
-                pairs = {(k, v, w) for (k, v, _), (_, w, _) in zip(y, x, strict=True) if k}
-                if len({p[:2] for p in pairs}) == len(pairs) == len({(k, w) for k, _, w in pairs}):
-                    return True
+    def readings(t):
+        c = next(chunks(pa.array([t])))
+        found = decontaminate.tokens(c)
+        for r in (decontaminate.plain(found), decontaminate.template(found, c.data, False), decontaminate.template(found, c.data, True)):
+            yield list(zip(r.kind.tolist(), r.value.tolist(), r.code.tolist(), strict=True))
+
+    size = decontaminate.WINDOW
+    items, docs = list(readings(ITEM)), list(readings(text))
+    for item, doc in [(items[0], docs[0]), *((x, y) for x in items[1:] for y in docs[1:])]:
+        for a in range(len(doc) - size + 1):
+            for b in range(len(item) - size + 1):
+                x, y = doc[a : a + size], item[b : b + size]
+                if [c for _, _, c in x] == [c for _, _, c in y] and sum(k == 0 for k, _, _ in y) >= size / 2:
+                    pairs = {(k, v, w) for (k, v, _), (_, w, _) in zip(y, x, strict=True) if k}
+                    if len({p[:2] for p in pairs}) == len(pairs) == len({(k, w) for k, _, w in pairs}):
+                        return True
     return False
 
 
