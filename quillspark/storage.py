@@ -32,9 +32,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that written() has made in this process.
+_MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; to be called once nothing that was built on them is read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    while _MADE:
+        path = at(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, computed once and read from a table in the shared folder."""
+    """The same rows, computed once and read from a table in the shared folder, which stays there until clear()."""
     path = new_path(df.sparkSession, name)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from quillspark import storage
@@ -47,3 +49,18 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(RuntimeError):
         storage.shared_folder(Session())
+
+
+def test_clear_deletes_what_was_written(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_MADE", [])
+    kept = storage.written(spark.range(5).toDF("x"), "kept")
+    path = Path(storage._MADE[0].removeprefix("file://"))
+    assert kept.count() == 5 and path.exists()
+    storage.clear(spark)
+    assert not path.exists() and not storage._MADE
+
+
+def test_small_goes_by_rows_and_bytes(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', 100) AS t")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(storage.small(df)) and not hinted(storage.small(df, rows=9)) and not hinted(storage.small(df, most_bytes=999)) and hinted(storage.small(df.select("id"), most_bytes=0))
