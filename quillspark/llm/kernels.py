@@ -6,6 +6,7 @@ batch of texts is never turned into Python strings.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,6 +146,33 @@ class RangeHash:
         return mix64(mulmod(apart, self._down[start]))
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # a C library without it
+    _TRIM = None
+
+
+def release() -> None:
+    """Give memory that is free, but kept by the allocators for later, back to the system: a worker lives on, and its next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+#: Bytes of texts after which a worker releases memory.
+_RELEASED = 1 << 23
+
+_passed = 0
+
+
+def _pass(some: int) -> None:
+    global _passed
+    _passed += some
+    if _passed >= _RELEASED:
+        _passed = 0
+        release()
+
+
 class Chunk:
     """Rows lo..hi of a batch: their bytes, and where each row starts and ends."""
 
@@ -183,6 +211,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[
         hi = min(max(hi, lo + 1), len(arr))
         own = offsets[lo : hi + 1]
         yield Chunk(lo, hi, data[own[0] : own[-1]], own - own[0], valid[lo:hi])
+        _pass(int(own[-1] - own[0]))
         lo = hi
 
 

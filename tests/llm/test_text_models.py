@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import language, lm_scoring, sentencepiece_sampling
+from quillspark.llm import kernels, language, lm_scoring, sentencepiece_sampling
 from quillspark.llm.kernels import chunks, mix64
 
 SCHEMA = "doc_id long, text string, lang string, code string, bits int, _id string, _text string, n_bytes string"
@@ -391,3 +391,14 @@ def test_encoder_is_the_models_own(spark):
 def test_costs_are_json_safe(spark):
     row = lm_scoring.score_documents(table(spark, [(1, "abc", "")])).first()
     assert json.dumps(row.asDict())
+
+
+def test_texts_that_pass_make_a_worker_release_memory(monkeypatch):
+    released = []
+    monkeypatch.setattr(kernels, "release", lambda: released.append(1))
+    monkeypatch.setattr(kernels, "_passed", 0)
+    for _ in range(3):
+        for _ in kernels.chunks(pa.array(["x" * 1000] * 10_000)):
+            pass
+    assert len(released) == 3 * 10_000_000 // kernels._RELEASED
+    kernels.release()
