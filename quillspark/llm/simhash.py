@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.kernels import U64, Chunk, RangeHash, ShortHash, chunks, fold, mix64, ranges, row_of, runs
+from quillspark.llm.kernels import U64, Chunk, RangeHash, ShortHash, chunks, fold, mix64, ranges, release, row_of, runs
 from quillspark.llm.kernels import BYTE_VALUES as VALUES
 from quillspark.llm.runtime import free_name, small, written
 
@@ -164,31 +164,26 @@ def close_pairs(left: GrayIndex, right: GrayIndex, radius: int, lead: int, steps
     later = [(bits, most) for bits, most in chain(radius, lead) if bits < 64 and (bits, most) not in steps]
     down = [(left.children(k), right.children(k)) for k in range(len(steps))]
     n, m = (len(x.first[0]) - 1 for x in (left, right))
-    after = [np.arange(a + (not steps) if same else 0, m) for a in range(n)]
-    stack = [(0, np.full(len(b), a, dtype=np.int64), b) for a, b in enumerate(after)]
-    while stack:
-        level, a, b = stack.pop()
+
+    def below(level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs under pairs of nodes, of which a level holds about _PAIRS at a time, or a node's pairs with another's children."""
         if level < len(steps):
             bits, most = steps[level]
             apart = (left.pattern(level, a) ^ right.pattern(level, b)) >> U64(64 - bits)
             on = np.bitwise_count(apart) <= most
             a, b = a[on], b[on]
-            if not len(a):
-                continue
             la, lb = down[level]
-            na, nb = la[a + 1] - la[a], lb[b + 1] - lb[b]
-            total = np.cumsum(na * nb)
-            for part in np.split(np.arange(len(a)), np.searchsorted(total, np.arange(_PAIRS, int(total[-1]), _PAIRS))):
-                if len(part):
-                    i = ranges(la[a[part]], na[part])
-                    wide = np.repeat(nb[part], na[part])
-                    j = ranges(np.repeat(lb[b[part]], na[part]), wide)
-                    i = np.repeat(i, wide)
+            for part in _pieces(la[a + 1] - la[a]):
+                x, y = a[part], b[part]
+                rows = la[x + 1] - la[x]
+                i, first, wide = ranges(la[x], rows), np.repeat(lb[y], rows), np.repeat(lb[y + 1] - lb[y], rows)
+                for some in _pieces(wide):
+                    deep, j = np.repeat(i[some], wide[some]), ranges(first[some], wide[some])
                     if same:
-                        on = i < j if level + 1 == len(steps) else i <= j
-                        i, j = i[on], j[on]
-                    stack.append((level + 1, i, j))
-            continue
+                        on = deep < j if level + 1 == len(steps) else deep <= j
+                        deep, j = deep[on], j[on]
+                    yield from below(level + 1, deep, j)
+            return
         dh = left.high[a] ^ right.high[b]
         for bits, most in later:
             on = np.flatnonzero(np.bitwise_count(dh >> U64(64 - bits)) <= most)
@@ -197,6 +192,20 @@ def close_pairs(left: GrayIndex, right: GrayIndex, radius: int, lead: int, steps
         if on.any():
             yield left.order[a[on]], right.order[b[on]]
 
+    for a in range(n):
+        b = np.arange(a + (not steps) if same else 0, m)
+        yield from below(0, np.full(len(b), a, dtype=np.int64), b)
+
+
+def _pieces(counts: np.ndarray) -> Iterator[slice]:
+    """Consecutive places whose counts add up to _PAIRS at most, or one whose own is more."""
+    total = np.cumsum(counts)
+    lo, done = 0, 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(total, done + _PAIRS, side="right")))
+        yield slice(lo, hi)
+        lo, done = hi, int(total[hi - 1])
+
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least place in the component of each of n places, given edges."""
@@ -223,7 +232,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
     for x, y in pairs:
         held.append((x, y))
         some += len(x)
-        if some > 1 << 21:
+        if some > max(_PAIRS, n):
             a, b = _tree(n, np.concatenate([a, *(p for p, _ in held)]), np.concatenate([b, *(q for _, q in held)]))
             held, some = [], 0
     return _tree(n, np.concatenate([a, *(p for p, _ in held)]), np.concatenate([b, *(q for _, q in held)]))
@@ -323,26 +332,60 @@ def close_edges(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, every:
         ids = np.concatenate([x[:, 0] for x in held]).view(np.int64)
         if every:
             label = np.concatenate([x[:, 3] for x in held])
-            apart = [(a[on], b[on]) for a, b in pairs for on in [label[a] != label[b]]]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*apart, strict=True) if apart else ((), ())))
-        else:
-            a, b = forest(len(ids), pairs)
+            apart = [(ids[a[on]], ids[b[on]]) for a, b in pairs for on in [label[a] != label[b]]]
+            a, b = (pa.chunked_array(list(map(pa.array, x)), pa.int64()) for x in (zip(*apart, strict=True) if apart else ((), ())))
+            return pa.table({"a": a, "b": b})
+        a, b = forest(len(ids), pairs)
+        release()
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
     return fps.select("id", "high", "low", *["label"] * every).mapInArrow(deal, "task long, side int, packed binary").groupBy("task").applyInArrow(join, "a long, b long")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids on edges (a, b), sorted, and a forest of places among them that joins what the edges join.
+
+    Edges that close a circle go as soon as as many are gathered as the forest had
+    edges, so a task holds about twice that many, never all.
+    """
+    none = np.zeros(0, np.int64)
+    held, some = [(none, none)], 0
+
+    def grown() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        ids = np.unique(np.concatenate([a, b]))
+        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        return ids, *_tree(len(ids), a, b)
+
+    kept = 0
+    for batch in batches:
+        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)))
+        some += batch.num_rows
+        if some > max(1 << 20, kept):
+            ids, a, b = grown()
+            held.append((ids[a], ids[b]))
+            kept, some = len(a), 0
+    out = grown()
+    release()
+    return out
+
+
+def _batches(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], names=names)
+
+
 def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """(id, root) for every id on an edge (a, b): the least id of its component."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     if edges.count() <= most:
 
-        def label(table: pa.Table) -> pa.Table:
-            a, b = (table.column(k).to_numpy() for k in ("a", "b"))
-            ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            return pa.table({"id": ids, "root": ids[roots(len(ids), place[: len(a)], place[len(a) :])]})
+        def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, a, b = _gathered(batches)
+            yield from _batches(["id", "root"], ids, ids[roots(len(ids), a, b)])
 
-        return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(label, "id long, root long")
+        return edges.repartition(1).mapInArrow(label, "id long, root long")
     while True:  # large stars, then small stars, till nothing changes
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
@@ -442,13 +485,11 @@ def _spanning(pairs: DataFrame, most: int) -> DataFrame:
     if pairs.count() > most:
         return pairs
 
-    def tree(table: pa.Table) -> pa.Table:
-        a, b = (table.column(k).to_numpy() for k in ("a", "b"))
-        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = _tree(len(ids), place[: len(a)], place[len(a) :])
-        return pa.table({"a": ids[a], "b": ids[b]})
+    def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, a, b = _gathered(batches)
+        yield from _batches(["a", "b"], ids[a], ids[b])
 
-    return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(tree, "a long, b long")
+    return pairs.repartition(1).mapInArrow(tree, "a long, b long")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, block: int, edges: int) -> tuple[DataFrame, DataFrame]:

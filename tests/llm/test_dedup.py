@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -196,6 +197,31 @@ def test_each_fingerprint_goes_to_one_block_a_segment(spark):
         assert {(min(r), max(r)) for r in simhash.close_edges(fps, block=block).collect()} == {(i, 1000 + i) for i in range(40)}
 
 
+def test_many_near_fingerprints_are_compared_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(simhash, "_PAIRS", 1000)
+    low = np.arange(400, dtype=np.uint64)
+    steps = simhash.levels(simhash.RADIUS, 0, len(low))
+    index = simhash.GrayIndex(np.zeros(400, np.uint64), low, [bits for bits, _ in steps])
+    found = [len(a) for a, _ in simhash.close_pairs(index, index, simhash.RADIUS, 0, steps)]
+    assert sum(found) == 400 * 399 // 2 and max(found) <= 1000
+
+
+def test_edges_of_a_group_are_not_held_at_once():
+    rng = np.random.default_rng(2)
+
+    def batches():
+        for _ in range(100):
+            a = rng.integers(0, 500, 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(7 * a), pa.array(7 * (a + 1))], names=["a", "b"])
+
+    tracemalloc.start()
+    ids, a, b = simhash._gathered(batches())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == [7 * k for k in range(501)] and len(a) == 500 and set(simhash.roots(501, a, b).tolist()) == {0}
+    assert peak < 160e6, "all edges alone are 160 MB"
+
+
 def test_near_of_nothing(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(table(spark, [])).count() == 0
