@@ -28,9 +28,12 @@ from quillspark.llm.runtime import free_name, written
 BLOCK = 25
 MIN_WORDS = 50
 
-#: Anchors that may be sent to every executor; beyond, they are joined in a shuffle.
+#: Anchors that may be sent to every executor; beyond, a filter of them is.
 ANCHORS = 1 << 22
 
+#: Anchors whose filter, of 2 to 4 bytes each, may be sent to every executor; beyond, they are joined in a shuffle.
+FILTERED = 1 << 26
+
 #: Share of all stretches from which a stretch, or an anchor by those around it, is heavy; there are at most two by its inverse.
 HEAVY = 1e-5
 
@@ -176,17 +179,88 @@ def anchors(docs: DataFrame, text_col: str = "text", block: int = BLOCK) -> Data
     return sent.groupBy("bucket").applyInArrow(_repeated, "anchor long")
 
 
+class Exact:
+    """All anchors; a worker makes their table once, at first use, as it keeps what was broadcast."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self._table = keys, None
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        if self._table is None:
+            self._table = HashTable(self.keys)
+        return self._table.find(h) >= 0
+
+
+class Filter:
+    """A Bloom filter of anchors: four bits in each of two words of 64, as hashes choose them.
+
+    What it takes for an anchor by chance, under 1 window in 1,000, costs a needless
+    look, never a wrong result: equal stretches have equal windows, so they still
+    meet, and are told from others by their own hashes.
+    """
+
+    #: Words, as a power of 2, in a part that one task makes.
+    PART = 17
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.bits = len(words).bit_length() - 1
+
+    @staticmethod
+    def places(h: np.ndarray, bits: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each hash, and its bits there."""
+        x = mix64(h ^ U64(0x5BD1 + which))
+        mask = np.zeros(len(h), dtype=U64)
+        for k in range(4):
+            mask |= U64(1) << ((x >> U64(6 * k)) & U64(63))
+        return (x >> U64(64 - bits)).astype(np.int64), mask
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash may be an anchor's; every anchor's is."""
+        out = np.ones(len(h), dtype=bool)
+        at = np.arange(len(h))
+        for which in range(2):
+            word, mask = self.places(h[at], self.bits, which)
+            on = self.words[word] & mask == mask
+            out[at[~on]] = False
+            at = at[on]
+        return out
+
+    @staticmethod
+    def of(hot: DataFrame, count: int) -> Filter:
+        """A filter of (anchor), made in parts."""
+        bits = max(10, (count // 4).bit_length())
+        part = min(Filter.PART, bits)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+                for which in range(2):
+                    word, mask = Filter.places(h, bits, which)
+                    yield pa.RecordBatch.from_arrays([pa.array((word >> part).astype(np.int32)), pa.array(word & ((1 << part) - 1)), pa.array(mask.view(np.int64))], names=["part", "word", "mask"])
+
+        def made(key: tuple, table: pa.Table) -> pa.Table:
+            words = np.zeros(1 << part, dtype=U64)
+            np.bitwise_or.at(words, table.column("word").to_numpy(), table.column("mask").to_numpy().view(U64))
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
+
+        words = np.zeros(1 << bits, dtype=U64)
+        for k, x in hot.mapInArrow(dealt, "part int, word long, mask long").groupBy("part").applyInArrow(made, "part int, words binary").collect():  # 2 to 4 bytes an anchor
+            words[k << part : (k + 1) << part] = np.frombuffer(x, U64)
+        return Filter(words)
+
+
 _STRETCH = "bucket int, hash binary, check binary, id binary, text_hash binary, word binary, start binary, stop binary"
 _NAMES = [x.split()[0] for x in _STRETCH.split(", ")]
 _SPAN = "id long, text_hash long, word int, past int, start int, stop int, first_id long, partners long"
 
 
-def _anchored(c: Chunk, w: Words, block: int, least: int, table: HashTable | None, places: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+def _anchored(c: Chunk, w: Words, block: int, least: int, table: Exact | Filter | None, places: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
     """First word of every stretch of `least` words that holds an anchor, and its first anchor."""
     if table is not None:
         at, h = w.windows(block)
         h = _short(h)
-        hit = table.find(h) >= 0
+        hit = table.holds(h)
         at, h = at[hit], h[hit]
     else:
         lists = [np.asarray(p.as_py() or [], dtype=np.int64) + w.first[k] for k, p in enumerate(places.slice(c.lo, c.rows))]
@@ -204,14 +278,14 @@ def _anchored(c: Chunk, w: Words, block: int, least: int, table: HashTable | Non
 
 
 class _Anchors:
-    """The anchors as tasks get them: as a table that is sent to all, or as each row's places."""
+    """The anchors as tasks get them: all of them or a filter sent to every task, or as each row's places."""
 
     def __init__(self, block: int, least: int, sent) -> None:
         self.block, self.least, self.sent = block, least, sent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk, Words, np.ndarray, np.ndarray]]:
         """(batch, chunk, words, first words of stretches, their anchors)."""
-        table = HashTable(self.sent.value) if self.sent is not None else None
+        table = self.sent.value if self.sent is not None else None
         for b in batches:
             for c in chunks(b.column(2)):
                 w = Words(c)
@@ -404,7 +478,7 @@ def _places(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, least: int = MIN_WORDS, most_anchors: int = ANCHORS, merged: bool = True) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, least: int = MIN_WORDS, most_anchors: int = ANCHORS, merged: bool = True, most_filtered: int = FILTERED) -> DataFrame:
     """(id, start_char, end_char, words, first_id) of every maximal span of words that occur elsewhere.
 
     A stretch of `least` words is repeated if its bytes, from its first word to its
@@ -426,8 +500,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     hot = written(anchors(rows, "text", block), "anchors")
-    if hot.count() <= most_anchors:
-        found = _Anchors(block, least, spark.sparkContext.broadcast(hot.toPandas()["anchor"].to_numpy().astype(np.int64).view(U64)))
+    count = hot.count()
+    if count <= most_anchors:
+        found = _Anchors(block, least, spark.sparkContext.broadcast(Exact(hot.toPandas()["anchor"].to_numpy().astype(np.int64).view(U64))))
+    elif count <= most_filtered:
+        found = _Anchors(block, least, spark.sparkContext.broadcast(Filter.of(hot, count)))
     else:
         places = rows.mapInArrow(_places(block), "id long, text_hash long, word int, anchor long").join(hot, "anchor", "left_semi")
         lists = places.select("id", "text_hash", "word").distinct().groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("word")).alias("places"))

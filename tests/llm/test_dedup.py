@@ -307,6 +307,27 @@ def test_repeated_passages_are_those_of_brute_force(spark, broadcast, heavy, mon
     assert sorted(tuple(r) for r in found.collect()) == brute_spans(rows, 6)
 
 
+def test_many_anchors_need_no_shuffle_of_all_windows(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = [prose(rng, 12) for _ in range(4)]
+    rows = [(i, f"{prose(rng, 9)} {rng.choice(shared)} {prose(rng, 9)} {rng.choice(shared)}") for i in range(20)]
+    expected = brute_spans(rows, 6)
+    joined = substring_dedup.repeated_spans(table(spark, rows), block=3, least=6, most_anchors=-1, most_filtered=-1)
+    assert sorted(tuple(r) for r in joined.collect()) == expected
+    monkeypatch.setattr(substring_dedup, "_places", None)
+    found = substring_dedup.repeated_spans(table(spark, rows), block=3, least=6, most_anchors=-1)
+    assert sorted(tuple(r) for r in found.collect()) == expected
+
+
+def test_a_filter_holds_every_anchor_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup.Filter, "PART", 11)
+    keys = np.random.default_rng(3).integers(0, 1 << 48, 250_000)
+    hot = spark.createDataFrame(pa.table({"anchor": keys[:50_000]}))
+    sieve = substring_dedup.Filter.of(hot, 50_000)
+    held = sieve.holds(keys.astype(np.uint64))
+    assert held[:50_000].all() and held[50_000:].mean() < 1e-3 and len(sieve.words) * 8 <= 4 * 50_000
+
+
 def test_repeated_rows_share_their_passages(spark):
     text = prose(random.Random(1), 70)
     found = substring_dedup.repeated_spans(table(spark, [(1, text), (1, text), (2, text)])).collect()
