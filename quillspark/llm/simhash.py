@@ -38,11 +38,11 @@ _TEXTS = 256
 #: Fingerprints in a part of a block, about.
 BLOCK = 1 << 18
 
-#: Edges that one task may take to form groups; beyond, stars are contracted round by round.
-EDGES = 1 << 23
+#: Edges that one task may take to form groups, in about 200 MB; beyond, stars are contracted round by round.
+EDGES = 1 << 20
 
 #: Pairs that are looked at in one go, about.
-_PAIRS = 1 << 18
+_PAIRS = 1 << 16
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -240,7 +240,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
 
 def _tree(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges that are left when those that close a circle go."""
-    root, left, right = np.arange(n), [], []
+    root, left, right = np.arange(n, dtype=a.dtype), [], []
     while len(a):
         x, y = root[a], root[b]
         apart = x != y
@@ -318,13 +318,16 @@ def close_edges(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, every:
                         packed.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(sides, pa.int32()), pa.array(packed, pa.binary())], names=["task", "side", "packed"])
 
-    def join(key: tuple, table: pa.Table) -> pa.Table:
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = key[0].as_py()
         lead = task >> 56
         both = (task >> 24) & 0xFFFFFF != task & 0xFFFFFF
-        sides = table.column("side").to_numpy()
-        cells = table.column("packed").to_pylist()
-        held = [np.concatenate([np.zeros((0, columns), U64), *(np.frombuffer(c, U64).reshape(-1, columns) for c, s in zip(cells, sides, strict=True) if s == side)]) for side in range(2 if both else 1)]
+        cells: list[list[bytes]] = [[], []]
+        for b in batches:
+            for side, cell in zip(b.column("side").to_pylist(), b.column("packed").to_pylist(), strict=True):
+                cells[side].append(cell)
+        held = [np.frombuffer(b"".join(cells[side]), U64).reshape(-1, columns) for side in range(2 if both else 1)]
+        cells.clear()
         steps = levels(radius, lead, max(map(len, held)))
         index = [GrayIndex(*turned(x[:, 1], x[:, 2], at[lead]), [bits for bits, _ in steps]) for x in held]
         base = len(held[0]) if both else 0
@@ -332,12 +335,14 @@ def close_edges(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, every:
         ids = np.concatenate([x[:, 0] for x in held]).view(np.int64)
         if every:
             label = np.concatenate([x[:, 3] for x in held])
-            apart = [(ids[a[on]], ids[b[on]]) for a, b in pairs for on in [label[a] != label[b]]]
-            a, b = (pa.chunked_array(list(map(pa.array, x)), pa.int64()) for x in (zip(*apart, strict=True) if apart else ((), ())))
-            return pa.table({"a": a, "b": b})
+            for a, b in pairs:  # given on as they are found: their number has no bound
+                on = label[a] != label[b]
+                if on.any():
+                    yield from _batches(["a", "b"], ids[a[on]], ids[b[on]])
+            return
         a, b = forest(len(ids), pairs)
         release()
-        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+        yield from _batches(["a", "b"], ids[a], ids[b])
 
     return fps.select("id", "high", "low", *["label"] * every).mapInArrow(deal, "task long, side int, packed binary").groupBy("task").applyInArrow(join, "a long, b long")
 
@@ -354,8 +359,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
     def grown() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = map(np.concatenate, zip(*held, strict=True))
         held.clear()
-        ids = np.unique(np.concatenate([a, b]))
-        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        ids = np.concatenate([a, b])
+        ids.sort()
+        ids = ids[np.concatenate([[True], ids[1:] != ids[:-1]])] if len(ids) else ids
+        narrow = np.int32 if len(ids) < 1 << 31 else np.int64
+        a = np.searchsorted(ids, a).astype(narrow)
+        b = np.searchsorted(ids, b).astype(narrow)
         return ids, *_tree(len(ids), a, b)
 
     kept = 0

@@ -222,6 +222,55 @@ def test_edges_of_a_group_are_not_held_at_once():
     assert peak < 160e6, "all edges alone are 160 MB"
 
 
+def test_a_task_gathers_no_more_edges_than_it_has_memory_for():
+    """An executor has about 3 GB, of which its JVM takes most: a forest of EDGES edges that share no end must fit beside it."""
+
+    def batches():
+        for lo in range(0, simhash.EDGES, 1 << 16):
+            a = 2 * np.arange(lo, min(lo + (1 << 16), simhash.EDGES))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a + 1)], names=["a", "b"])
+
+    tracemalloc.start()
+    ids, a, _ = simhash._gathered(batches())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == simhash.EDGES and len(ids) == 2 * len(a)
+    assert peak < 250e6
+
+
+def test_pairs_that_labels_leave_apart_are_given_piece_by_piece(spark, monkeypatch):
+    """All pairs of a cluster, which grow with its square, leave a task as they are found."""
+    sizes = []
+    real = simhash._batches
+    monkeypatch.setattr(simhash, "_batches", lambda names, *x: sizes.append(len(x[0])) or real(names, *x))
+    joins = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, deal, _):
+            self.deal = deal
+            return self
+
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, join, _):
+            joins.append((self.deal, join))
+
+    n = 1500
+    monkeypatch.setattr(simhash, "_tiles", lambda *_: np.ones((simhash.RADIUS + 1, 256), dtype=np.int64))
+    simhash.close_edges(Rows(), every=True)
+    deal, join = joins[0]
+    ids = pa.array(np.arange(n))
+    dealt = pa.Table.from_batches(deal([pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(n, np.int64)), ids, ids], names=["id", "high", "low", "label"])]))
+    task = dealt.column("task")[0]
+    own = dealt.filter(pa.array([x == task for x in dealt.column("task")]))
+    found = sum(b.num_rows for b in join((task,), iter(own.select(["side", "packed"]).to_batches())))
+    assert found == n * (n - 1) // 2 and max(sizes) <= simhash._PAIRS
+
+
 def test_near_of_nothing(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(table(spark, [])).count() == 0
