@@ -91,6 +91,25 @@ def test_code_lengths_are_those_of_brute_force(spark, order, nodes):
             assert a[2] == pytest.approx(b[2], abs=2e-3) and a[3] == pytest.approx(b[3], abs=1e-3)
 
 
+@pytest.mark.parametrize("sent", [0, 25])
+def test_models_keep_every_node_whatever_is_sent(spark, sent, monkeypatch):
+    """Codes that are not sent to every task are looked up by a shuffle: scores are those of the whole model."""
+    monkeypatch.setattr(lm_scoring, "_PLACES", 50)
+    texts = [*ppm_texts(4), "only here: q7#"]
+    df = table(spark, [(i, t, "") for i, t in enumerate(texts)] + [(None, "abc", ""), (3, texts[3], "")])
+    assert lm_scoring.NODES == math.inf, "no bound on what a model has"
+    rows = lambda x: sorted((tuple(r) for r in x.collect()), key=repr)
+    whole, found = rows(lm_scoring.score_documents(df)), rows(lm_scoring.score_documents(df, sent=sent))
+    assert len(found) == len(texts) + 2
+    for a, b in zip(found, whole, strict=True):
+        assert a[:2] == b[:2] and (a[2:] == b[2:] == (None, None) or a[2:] == pytest.approx(b[2:], abs=2e-3))
+    model = lm_scoring.fit(df.limit(0).unionByName(table(spark, [(1, t, "") for t in texts])))
+    others = ["the mat sat on the cat", "", None, "nothing of it: QXJ"]
+    found = {r.doc_id: r.code_length for r in lm_scoring.score(table(spark, [(i, t, "") for i, t in enumerate(others)]), model, sent=sent).collect()}
+    for i, (t, b) in enumerate(zip(others, brute_bits(texts, others, 4), strict=True)):
+        assert found[i] is None if t is None else found[i] == pytest.approx(b, abs=2e-3)
+
+
 def test_a_model_of_one_table_scores_another(spark):
     texts = ppm_texts(4)
     others = ["the mat sat on the cat", "", None, "nothing of it: QXJ", "abab" * 50]
