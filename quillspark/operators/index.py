@@ -2,8 +2,10 @@
 
 A segment has two tables: postings (segment, term, doc_id, tf, places), whose rows
 hold a term's positions in a document, and terms (segment, term, term_ord, k27,
-is_stub, df, cf). They are written by segment and sorted by term, so that a query
-reads the row groups of its terms only, and positions only where it asks for them.
+is_stub, df, cf). They are written by segment, a segment's documents dealt to files
+by their ids and each file sorted by term, so that a query reads the pages of its
+terms only, and positions only where it asks for them. A segment is as large as what
+it is made of: no task ever holds all of its terms, nor all documents of a term.
 A folder's catalogue names the segments that it has; what it doesn't name isn't
 there, so one small file, written last, publishes a change as a whole.
 """
@@ -24,12 +26,14 @@ from quillspark.storage import new_path
 STUB_EVERY = 10
 TIER_BLOCK = 256
 
-#: Bytes of input in a segment, about, and segments before some are merged.
-SEGMENT_BYTES = 200_000_000
+#: Segments before some are merged.
 MOST_SEGMENTS = 8
 
-#: Files of a segment's postings, at most; each is sorted by term.
-SEGMENT_FILES = 16
+#: Bytes of input that a task of a write takes, about; bytes of input that a position counts for; and segments whose names are listed to deal their documents evenly.
+TASK_BYTES, POSITION_BYTES, LISTED_SEGMENTS = 1 << 22, 2, 1000
+
+#: Letters of a term by which terms are numbered apart.
+HEAD_LETTERS = 4
 
 #: An estimate above this is none.
 _UNKNOWN_BYTES = 1 << 60
@@ -71,15 +75,24 @@ def vocabulary(postings: DataFrame) -> DataFrame:
 
 
 def numbered_terms(vocab: DataFrame) -> DataFrame:
-    """vocab with term_ord (place in the segment from 0), k27 and is_stub (every tenth term, and the last). One sort a segment, whose vocabulary its bytes bound."""
-    order = Window.partitionBy("segment").orderBy("term")
-    ranked = vocab.withColumn("term_ord", (F.row_number().over(order) - 1).cast("long"))
-    last = F.lead("term").over(order).isNull()
-    return ranked.select("segment", "term", "term_ord", T.term_key(F.col("term")).alias("k27"), ((F.col("term_ord") % STUB_EVERY == 0) | last).alias("is_stub"), "df", "cf")
+    """vocab with term_ord (place in the segment from 0), k27 and is_stub (every tenth term, and the last).
+
+    Terms with the same first HEAD_LETTERS are sorted together; what comes before
+    them is counted over those beginnings, of which a segment has 27 ** HEAD_LETTERS
+    at most. vocab is computed twice, once for the counts.
+    """
+    headed = vocab.withColumn("_head", F.left("term", F.lit(HEAD_LETTERS)))
+    whole = Window.partitionBy("segment")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = headed.groupBy("segment", "_head").agg(F.count(F.lit(1)).alias("_n")).select("segment", "_head", before.alias("_first"), F.sum("_n").over(whole).alias("_all"))
+    order = Window.partitionBy("segment", "_head").orderBy("term")
+    ranked = headed.withColumn("_i", F.row_number().over(order)).join(heads, ["segment", "_head"]).withColumn("term_ord", F.col("_first") + F.col("_i") - 1)
+    stub = (F.col("term_ord") % STUB_EVERY == 0) | (F.col("term_ord") == F.col("_all") - 1)
+    return ranked.select("segment", "term", "term_ord", T.term_key(F.col("term")).alias("k27"), stub.alias("is_stub"), "df", "cf")
 
 
 def tier_blocks(postings: DataFrame) -> DataFrame:
-    """postings with tier: blocks of TIER_BLOCK documents of a term, by rising tf, then doc_id. One sort a term and segment, whose documents its bytes bound."""
+    """postings with tier: blocks of TIER_BLOCK documents of a term, by rising tf, then doc_id. One sort a term and segment, of a few bytes a document."""
     order = Window.partitionBy("segment", "term").orderBy("tf", "doc_id")
     return postings.withColumn("tier", F.floor((F.row_number().over(order) - 1) / TIER_BLOCK).cast("int"))
 
@@ -184,13 +197,24 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return _opened(spark, path, segments, number)
 
 
-def _write(postings: DataFrame, path: str) -> list[Segment]:
-    """Write the postings and the terms of some segments, which no catalogue names yet."""
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """The rows (segment, doc_id, ...), about so many bytes, in as many tasks as they need: each segment's by a hash of their ids, so that no task gathers a term or a segment."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    names = sorted(r[0] for r in rows.select("segment").distinct().limit(LISTED_SEGMENTS + 1).collect())
+    if not names:
+        return rows
+    if len(names) > LISTED_SEGMENTS:
+        return rows.repartition(tasks, "segment", F.pmod(F.xxhash64("doc_id"), F.lit(-(-tasks // LISTED_SEGMENTS))))
+    each = -(-tasks // len(names))
+    first = (F.array_position(F.array(*map(F.lit, names)), F.col("segment")) - 1) * each
+    return rows.repartitionById(len(names) * each, (first + F.pmod(F.xxhash64("doc_id"), F.lit(each))).cast("int"))
+
+
+def _write(postings: DataFrame, path: str, vocab: DataFrame | None = None) -> list[Segment]:
+    """Write the postings and the terms of some segments, which no catalogue names yet; vocab is their vocabulary() where that is known."""
     spark = postings.sparkSession
     version = uuid.uuid4().hex
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # said outright, so that small segments too are sorted in as many tasks
-    dealt = postings.repartition(parts, "segment", F.pmod(F.hash("term"), F.lit(SEGMENT_FILES)))
-    dealt.sortWithinPartitions("segment", "term", "doc_id").write.partitionBy("segment").parquet(f"{path}/postings/version={version}")
+    postings.sortWithinPartitions("segment", "term", "doc_id").write.partitionBy("segment").parquet(f"{path}/postings/version={version}")
     at, files = _files(spark, path)
     folders = files.globStatus(at(f"{path}/postings/version={version}/segment=*")) or []
     unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
@@ -198,9 +222,13 @@ def _write(postings: DataFrame, path: str) -> list[Segment]:
     if not names:
         return []
     fresh = [Segment(n, version, 0) for n in names]
-    read = _rows(spark, path, "postings", POSTINGS, fresh)
-    numbered_terms(vocabulary(read)).sortWithinPartitions("segment", "term").write.partitionBy("segment").parquet(f"{path}/terms/version={version}")
-    sizes = dict(_opened(spark, path, fresh).terms.groupBy("segment").agg(F.sum("cf")).collect())  # one row a segment
+    draft = f"{path}/draft-{version}"  # for numbering, which reads it twice
+    found = vocabulary(_rows(spark, path, "postings", POSTINGS, fresh)) if vocab is None else vocab
+    found.select("segment", "term", "df", "cf").write.parquet(draft)
+    held = spark.read.schema("segment string, term string, df long, cf long").parquet(draft)
+    numbered_terms(held).sortWithinPartitions("segment", "term").write.partitionBy("segment").parquet(f"{path}/terms/version={version}")
+    sizes = dict(held.groupBy("segment").agg(F.sum("cf")).collect())  # one row a segment
+    files.delete(at(draft), True)
     return [Segment(n, version, int(sizes[n])) for n in names]
 
 
@@ -210,21 +238,23 @@ def _input_bytes(docs: DataFrame, text_col: str) -> int:
     return estimate if estimate < _UNKNOWN_BYTES else docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
 
 
-def write_index(docs: DataFrame, path: str, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True, replace: bool = False, most_bytes: int = SEGMENT_BYTES) -> Index:
+def write_index(docs: DataFrame, path: str, segment: str | None = None, id_col: str = "doc_id", text_col: str = "text", stop_words: bool = True, replace: bool = False, most_bytes: int | None = None) -> Index:
     """Build an index of the documents and add it to a folder; ids must be unique over all of its segments.
 
-    Texts are read once and postings shuffled once. Where the input has more than
-    most_bytes, each segment is cut by a hash of the ids into several, 'NAME.0',
-    'NAME.1' and so on. One that is there already is an error, or with replace is
-    replaced, and all its parts with it. Readers see all of the new segments or none.
+    Texts are shuffled once, to tasks of about TASK_BYTES. A segment is one
+    whatever its size; only a caller who gives most_bytes has each cut by a hash of
+    the ids into several, 'NAME.0', 'NAME.1' and so on, if the input has more. One
+    that is there already is an error, or with replace is replaced, and all its
+    parts with it. Readers see all of the new segments or none.
     """
     spark = docs.sparkSession
-    parts = -(-_input_bytes(docs.select(*{id_col, text_col}), text_col) // most_bytes)
-    base = F.coalesce(F.col(segment).cast("string"), F.lit("0")) if segment else F.lit("0")
-    name = base
+    size = _input_bytes(docs.select(*{id_col, text_col}), text_col)
+    parts = -(-size // most_bytes) if most_bytes else 1
+    name = F.coalesce(F.col(segment).cast("string"), F.lit("0")) if segment else F.lit("0")
     if parts > 1:
         name = F.concat(name, F.lit("."), F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)))
-    fresh = _write(grouped_terms(docs.withColumn("_segment", name), "_segment", id_col, text_col, stop_words), path)
+    rows = docs.select(name.alias("segment"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    fresh = _write(grouped_terms(_dealt(rows, size), "segment", stop_words=stop_words), path)
     number, there = catalogue(spark, path)
     names = {s.name.rsplit(".", 1)[0] if parts > 1 else s.name for s in fresh}
     gone = [s for s in there if any(s.holds(n) for n in names)]
@@ -250,28 +280,35 @@ def merge_segments(index: Index, segments: list[str], into: str) -> Index:
     name = F.when(F.col("segment").isin(*segments), F.lit(into)).otherwise(F.col("segment"))
     positions = index.positions.withColumn("segment", name)
     postings = index.postings.withColumn("segment", name)
-    return Index(numbered_terms(vocabulary(postings)), postings, positions)
+    return Index(numbered_terms(_summed(index.terms.withColumn("segment", name))), postings, positions)
+
+
+def _summed(terms: DataFrame) -> DataFrame:
+    """vocabulary() of the terms of segments that have been made one."""
+    return terms.groupBy("segment", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def compact(spark: SparkSession, path: str, most: int = MOST_SEGMENTS, most_size: int = SEGMENT_BYTES) -> Index:
+def compact(spark: SparkSession, path: str, most: int = MOST_SEGMENTS, most_size: int | None = None) -> Index:
     """The index of a folder, its smallest segments merged in place for as long as it has more than `most`.
 
     Only the merged segments are read and written; their folders go once the new
-    catalogue is there. Segments that together would have more than most_size
-    positions stay apart, so that a large index keeps more than `most`.
+    catalogue is there. Where most_size is given, segments that together would have
+    more positions than that stay apart.
     """
     number, there = catalogue(spark, path)
     while len(there) > most:
         by_size = sorted(there, key=lambda s: (s.size, s.name))
         some, total = [], 0
         for s in by_size[: len(there) - most + 1]:
-            if total + s.size > most_size:
+            if most_size is not None and total + s.size > most_size:
                 break
             some.append(s)
             total += s.size
         if len(some) < 2:
             break
-        fresh = _write(_rows(spark, path, "postings", POSTINGS, some).withColumn("segment", F.lit(f"merged-{uuid.uuid4().hex}")), path)
+        into = F.lit(f"merged-{uuid.uuid4().hex}")
+        postings, terms = (_rows(spark, path, table, schema, some).withColumn("segment", into) for table, schema in (("postings", POSTINGS), ("terms", TERMS)))
+        fresh = _write(_dealt(postings, total * POSITION_BYTES), path, _summed(terms))
         of = tuple(sorted({n for s in some for n in (s.name, *s.of)}))
         there = [s for s in there if s not in some] + [Segment(s.name, s.version, s.size, of) for s in fresh]
         _commit(spark, path, number, there)
@@ -314,7 +351,7 @@ class IndexBuilder:
         return self
 
     def persist(self, name: str | None = None) -> Index | None:
-        """Write what was appended as one segment, or as several if it is large; None if that is nothing."""
+        """Write what was appended as one segment; None if that is nothing."""
         if not self._parts:
             return None
         docs = self._parts[0]
