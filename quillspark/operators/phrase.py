@@ -29,8 +29,8 @@ def pair_gaps(positions: DataFrame, terms: list[str]) -> DataFrame:
     out = None
     for i, (a, b) in enumerate(zip(terms, terms[1:], strict=False)):
         rows = positions.where(F.col("term").isin(a, b)).select("segment", "doc_id", "pos", (F.col("term") == a).alias("is_a"), (F.col("term") == b).alias("is_b"))
-        after = Window.partitionBy("segment", "doc_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-        next_b = F.first(F.when(F.col("is_b"), F.col("pos")), ignorenulls=True).over(after)
+        after = Window.partitionBy("segment", "doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)  # backwards, so that each place is read once
+        next_b = F.last(F.when(F.col("is_b"), F.col("pos")), ignorenulls=True).over(after)
         gaps = rows.withColumn("gap", F.when(F.col("is_a"), next_b - F.col("pos"))).groupBy("segment", "doc_id").agg(F.min("gap").alias("gap"))
         part = gaps.select("segment", "doc_id", F.lit(i).alias("pair"), "gap")
         out = part if out is None else out.unionByName(part)

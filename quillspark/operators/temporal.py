@@ -142,11 +142,12 @@ def phantom_inserts(keys: DataFrame, inserts: DataFrame) -> DataFrame:
         rows.append((p, below[-1] if below else None, above[0] if above else None))
     borders = keys.sparkSession.createDataFrame(rows, "part int, below long, above long")
     order = Window.partitionBy("part").orderBy("key")
-    back, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    back = order.rowsBetween(Window.unboundedPreceding, -1)
+    on = Window.partitionBy("part").orderBy(F.col("key").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a frame that ends with the range would be read again for each row
     same = Window.partitionBy("part", "key")
     near = (
         ranged.withColumn("known", F.max(F.col("there").isNotNull()).over(same))
-        .withColumn("before", F.last("there", ignorenulls=True).over(back)).withColumn("after", F.first("there", ignorenulls=True).over(on))
+        .withColumn("before", F.last("there", ignorenulls=True).over(back)).withColumn("after", F.last("there", ignorenulls=True).over(on))
         .where("ts IS NOT NULL AND NOT known").join(F.broadcast(borders), "part")
     )
     before = F.when(F.col("before").isNotNull(), F.col("before.last_read")).otherwise(F.col("below"))

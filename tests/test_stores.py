@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import paths as P
-from quillspark.operators import docstore, paths, temporal
+from quillspark.operators import docstore, paths, phrase, temporal
 from quillspark.plans import select
 from quillspark.queries.stores import NESTED
 from quillspark.sources import readers
@@ -243,3 +244,14 @@ def test_stream_of_documents(spark, tmp_path):
     whole = index.build(spark.read.parquet(source))
     assert held.postings.drop("segment").exceptAll(whole.postings.drop("segment")).count() == 0
     assert held.postings.count() == whole.postings.count()
+
+
+def test_no_frame_is_read_again_for_each_row(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("format_string('k%05d', id) AS key", "id % 50 AS last_read")
+    inserts = spark.range(1, 3000, 3).selectExpr("format_string('k%05d', id) AS key", "id % 40 AS ts")
+    found = temporal.phantom_inserts(keys, inserts)
+    places = spark.createDataFrame([("s", t, d, p) for d in range(3) for p, t in enumerate("ABBA")], "segment string, term string, doc_id long, pos int")
+    for df in (found, phrase.pair_gaps(places, ["A", "B"])):  # a frame up to the end of its partition costs the square of its rows
+        assert not re.search(r"(?<!unboundedpreceding\$\(\), )unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString())
+    expected = {(f"k{i:05d}", i % 40) for i in range(1, 3000, 3) if (i - 1) % 50 > i % 40 or (i + 2 < 3000 and (i + 2) % 50 > i % 40)}
+    assert {tuple(r) for r in found.collect()} == expected
