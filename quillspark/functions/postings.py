@@ -104,3 +104,14 @@ def postings_batches(batches: Iterator[pa.RecordBatch], stop_words: bool = True)
             at, word, count, places = grouped(row, term, pos)
             rows = pa.array(at)
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), word, b.column(1).take(rows), pa.array(count), places], names=["segment", "term", "doc_id", "tf", "places"])
+
+
+def stop_word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, with_stop_words, kept) of batches of (doc_id, text): how many index terms each text has with its stop words, and without; null texts have none."""
+    for b in batches:
+        every, dropped = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32)
+        for lo, _, bounds, row, _, _, stop in _words(b.column(1), True):
+            rows = slice(lo, lo + len(bounds) - 1)
+            every[rows] = np.bincount(row, minlength=len(bounds) - 1)
+            dropped[rows] = np.bincount(row[stop], minlength=len(bounds) - 1)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every), pa.array(every - dropped)], names=["doc_id", "with_stop_words", "kept"])

@@ -64,6 +64,14 @@ def _places(postings: DataFrame) -> DataFrame:
     return postings.select("segment", "term", "doc_id", F.explode("places").alias("pos"))
 
 
+def stop_word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, with_stop_words, kept): how many index terms each document has with its stop words, and without."""
+    from quillspark.functions.postings import stop_word_batches
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    return rows.mapInArrow(stop_word_batches, "doc_id long, with_stop_words int, kept int")
+
+
 def term_frequencies(positions: DataFrame) -> DataFrame:
     """(segment, term, doc_id, tf) of positions; a document's terms lie together, so most of the counting is done before the shuffle."""
     return positions.groupBy("segment", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))

@@ -122,9 +122,7 @@ def tokenize_positions(spark, sf_dir):
 
 
 def stopword_filter(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    every = docs.select("doc_id", F.size(T.tokens(F.col("text"), False)).alias("with_stop_words"), F.size(T.tokens(F.col("text"))).alias("kept"))
-    return every.where("with_stop_words <> kept")
+    return index.stop_word_counts(documents(spark, sf_dir)).where("with_stop_words <> kept")
 
 
 def term_freq(spark, sf_dir):

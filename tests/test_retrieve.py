@@ -290,3 +290,12 @@ def test_no_task_of_a_write_gathers_a_term_or_a_segment(spark):
     rows = spark.range(20_000).selectExpr("'s' || (id % 3) AS segment", "id AS doc_id", "'same words here' AS text")
     sizes = [r[0] for r in index._dealt(rows, 30 * index.TASK_BYTES).groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(sizes) == 30 and max(sizes) < 2 * 20_000 / 30
+
+
+def test_stop_words_are_counted_as_tokens_are(spark):
+    rng = random.Random(17)
+    pieces = ["the", "THE", "Word", "x", "É", "a" * 60, "B" * 51, " ", "-", "AND", "and9", "THEMSELVES", "OURSELVESX"]
+    texts = ["", None, "THE", "not THE", *("".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = {tuple(r) for r in df.where("text IS NOT NULL").select("doc_id", F.size(T.tokens(F.col("text"), False)), F.size(T.tokens(F.col("text")))).collect()}
+    assert {tuple(r) for r in index.stop_word_counts(df).collect()} == expected
