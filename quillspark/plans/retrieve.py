@@ -35,9 +35,11 @@ class Found:
         """The best documents with url, snippet and matched spans, best first."""
         top, rows = held(self.best(limit))
         index, keys = self.index, expand.position_keys(self.keys)
-        if rows is not None:  # the page's documents and no others are read
+        if rows is not None:  # the page's documents and no others are read, and of the index the terms shown
             ids = [r.doc_id for r in rows]
-            index = Index(index.terms, index.postings, index.positions.where(F.col("doc_id").isin(*ids)))
+            keys, shown = held(keys)
+            places = index.positions.where(F.col("doc_id").isin(*ids))
+            index = Index(index.terms, index.postings, places if shown is None else places.where(F.col("term").isin(*{r.term for r in shown})))
             docs = docs.where(F.col(id_col).isin(*ids))
         spans = highlight.spans_of(phrase.match_positions(index, keys, top))
         return highlight.shown_results(top, spans, docs, id_col, text_col, url_col).orderBy(F.col("score").desc(), "doc_id")
